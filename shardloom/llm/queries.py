@@ -30,12 +30,30 @@ def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import op4
+
+    return op4(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import op5
 
     return op5(_table(spark, sf_dir, "documents"))
 
 
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import op6
+
+    return op6(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import op8
+
+    return op8(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import op10
 
