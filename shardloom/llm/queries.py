@@ -24,6 +24,12 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import op2
+
+    return op2(_table(spark, sf_dir, "documents"))
+
+
 def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simple8b import op3
 
@@ -54,6 +60,12 @@ def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(_table(spark, sf_dir, "documents"))
 
 
+def op9_boosted_dom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import op9
+
+    return op9(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import op10
 
