@@ -54,6 +54,12 @@ def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import op7
+
+    return op7(_table(spark, sf_dir, "documents"))
+
+
 def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brown import op8
 
