@@ -256,14 +256,16 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: i
     """The rows in which no item is found, all columns kept as they are."""
     out = documents
     for items in item_blocks(benchmark, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(items)
+        out = out.where(_clean_test(documents.sparkSession.sparkContext.broadcast(items))(text_or_empty()))
+    return out
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.search((t or "").encode()) for t in texts], dtype=bool)
 
-        out = out.where(clean(text_or_empty()))
-    return out
+def _clean_test(shared):  # noqa: ANN001, ANN202
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.search((t or "").encode()) for t in texts], dtype=bool)
+
+    return clean
 
 
 def op6(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -187,8 +188,6 @@ def score_quality(documents: DataFrame, model: CompressionModel, threshold: floa
 
 def keep_good(documents: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier accepts, all columns kept as they are."""
-    import pandas as pd
-
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
