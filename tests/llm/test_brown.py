@@ -1,0 +1,78 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from shardloom.llm import brown
+
+
+def test_base_scores(documents, rows, nothing):
+    got = brown.op8(documents).collect()
+    assert len(got) == len(rows)
+    key = lambda i: "" if i is None else str(i)
+    held = lambda i: zlib.crc32(key(i).encode()) % 7 == 2
+    seen = Counter()
+    for i, t in rows:
+        if not held(i):
+            seen.update([*t.encode().lower().split(), None])
+    total, kinds = sum(seen.values()), len(seen)
+    want = Counter()
+    for i, t in rows:
+        tokens = [*t.encode().lower().split(), None]
+        score = sum(math.log10((seen[x] + 1) / (total + kinds + 1)) for x in tokens)
+        want[i, held(i), len(tokens), sum(seen[x] > 0 for x in tokens), total, round(score, 4)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score <= 0 and r.perplexity >= 1 for r in got)
+    assert brown.op8(nothing).count() == 0
+
+
+def test_without_training_text(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = brown.op8(spark.createDataFrame([(held, "a b c")], "doc_id long, text string")).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (4, 0, 0, 0.0, 0.0)
+
+
+def test_classes_beat_single_words(spark):
+    """Words alternate between two kinds: classes see it, single words can't."""
+    rng = np.random.default_rng(1)
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    texts = [(i, " ".join(x for _ in range(40) for x in (rng.choice(a), rng.choice(b)))) for i in range(150)]
+    out = brown.op8(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_exchange_raises_likelihood():
+    rng = np.random.default_rng(2)
+    kind = rng.integers(0, 3, 31)
+    bigrams = rng.poisson(20.0 * (kind[:, None] == (kind[None] + 1) % 3) + 0.2)
+    of = brown.exchange(bigrams, 5)
+    assert of[-1] == 4 and (of[:-1] < 4).all()
+
+    def likelihood(c):
+        m = np.zeros((31, 5))
+        m[np.arange(31), c] = 1
+        g = m.T @ bigrams @ m
+        return brown._xlogx(g).sum() - brown._xlogx(g.sum(0)).sum() - brown._xlogx(g.sum(1)).sum()
+
+    start = np.append(np.arange(30) % 4, 4)
+    assert likelihood(of) > likelihood(start)
+    for w in range(30):  # no single move is better
+        for c in range(4):
+            other = of.copy()
+            other[w] = c
+            assert likelihood(other) <= likelihood(of) + 1e-6
+
+
+def test_model_is_a_distribution(spark):
+    texts = [(i, f"x{i % 7} y{i % 5} z") for i in range(60)]
+    model, counts, _ = brown.fit_brown(spark.createDataFrame(texts, "doc_id long, text string"), classes=6)
+    assert np.allclose((10.0 ** model.transition).sum(axis=1), 1)
+    emitted = np.zeros(6)
+    for r in counts.collect():
+        at = model.head.words.index(bytes(r.token))
+        c = model.class_of_item[model.head.items()[at]]
+        emitted[c] += (r.n + model.delta) / 10 ** model.below[c]
+    unseen = model.delta / 10**model.below
+    some = emitted > 0
+    assert np.allclose((emitted + unseen)[some], 1)
