@@ -9,8 +9,9 @@ an anchor are compared on all 64 bits.  No pair within the threshold is missed.
 
 Copies are collapsed before any of this: only distinct fingerprints are replicated.  An anchor's
 rows are compared in order of the anchor, a batch at a time, and give a few links (each
-fingerprint to the smallest it meets in its linked set), not all pairs; an anchor with very many
-fingerprints is split by exact pieces of the other bits, of which one must be equal.
+fingerprint to the smallest it meets in its linked set), not all pairs.  An anchor with very many
+fingerprints is split by exact pieces of the word, of which one must be equal: within a task, or,
+for the largest anchors, before the shuffle, so that they spread over tasks.
 
 Defined results: null and empty texts have fingerprint zero and link to each other like any other
 fingerprint; repeated rows are copies; a null doc_id takes part in links but is never the smallest
@@ -34,6 +35,10 @@ SEED = 42
 THRESHOLD = 2
 #: Beyond this many rows an anchor's fingerprints are compared by exact pieces.
 SPLIT = 512
+#: Within two bits one of these three pieces (shift, width) of two fingerprints is equal.
+PIECES = ((0, 22), (22, 21), (43, 21))
+#: An anchor of more rows is dealt out by pieces, to as many tasks; at most HOT_ANCHORS, the largest.
+HOT, HOT_ANCHORS = 50_000, 10_000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -104,14 +109,31 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 20_000):
-        fp = batch.column(0).to_numpy().view(np.uint64)
-        for side in (0, 1):
-            half = (fp >> np.uint64(32 * side)) & _HALF
-            rows, anchor = anchors(half)
-            code = (anchor | np.uint64(side << 31)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(fp[rows].view(np.int64))], ["anchor", "fp"])
+def _piece_keys(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that split an anchor by exact pieces of the fingerprint: three a row, one of which near ones share."""
+    keys = []
+    for shift, width in PIECES:
+        piece = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        h = (anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (piece + np.uint64(shift + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys.append((h ^ (h >> np.uint64(31))) | np.uint64(1 << 63))  # apart from whole anchors
+    return np.concatenate(keys).view(np.int64), np.tile(fp, len(PIECES))
+
+
+def _replicate(hot: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for side in (0, 1):
+                half = (fp >> np.uint64(32 * side)) & _HALF
+                rows, anchor = anchors(half)
+                code, value = (anchor | np.uint64(side << 31)).astype(np.int64), fp[rows]
+                if len(hot):
+                    split = np.isin(code, hot)
+                    keys, values = _piece_keys(code[split], value[split])
+                    code, value = np.concatenate([code[~split], keys]), np.concatenate([value[~split], values])
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(value.view(np.int64))], ["anchor", "fp"])
+
+    return run
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -163,7 +185,7 @@ def _compare(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     left, right = _pairs_in_runs(anchor[~big], fp[~big])
     if big.any():
         # Within two bits one of three pieces of the word is equal: exact groups, much smaller.
-        for shift, width in ((0, 22), (22, 21), (43, 21)):
+        for shift, width in PIECES:
             piece = (fp[big] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
             order = np.lexsort((fp[big], piece, anchor[big]))
             # A run's number stands for (anchor, piece).
@@ -198,9 +220,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(np.concatenate([d[0] for d in held]), np.concatenate([d[1] for d in held]))
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): links that connect exactly the distinct ``fp`` within two bits."""
-    replicas = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    codes = "anchor long, fp long"
+    fps = distinct.select("fp")
+    # Counted before the shuffle; the few largest anchors alone reach the driver.
+    sizes = fps.mapInArrow(_replicate(np.empty(0, np.int64)), codes).groupBy("anchor").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > hot).orderBy(F.col("n").desc(), "anchor").limit(HOT_ANCHORS).collect()
+    replicas = fps.mapInArrow(_replicate(np.array(sorted(r["anchor"] for r in large), np.int64)), codes)
     return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long").distinct()
 
 
