@@ -34,6 +34,8 @@ from .common import settle, slices, text_or_empty, utf8
 WINDOW, RUN = 35, 8
 #: Shards of more distinct stretches are trimmed before their automaton is built.
 TRIM = 48
+#: Anchors of more occurrences have their windows counted one by one.
+CROWD = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = -(1 << 63)
@@ -247,6 +249,21 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["fp", "dk", "h", "first", "body"])
 
 
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of every window of crowded anchors."""
+    for batch in slices(batches):
+        keys, out = [], ([], [], [])
+        for dk, h, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
+            words, wanted = text.split(), set(places)
+            for place, first, n in zip(*(a.tolist() for a in anchors(_Sums(words))[1:])):
+                if place in wanted:
+                    for at in range(first, first + n):
+                        keys.append(hashlib.blake2b(b" ".join(words[at : at + WINDOW]), digest_size=16).digest())
+                        for column, value in zip(out, (dk, h, at)):
+                            column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in out)], ["key", "dk", "h", "first"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         ids, total, removed, kept = [], [], [], []
@@ -266,16 +283,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): for every row its words that no repeated window covers, joined by spaces."""
     text = text_or_empty()
     # The same columns in either join below, so that the texts are shuffled once and read twice.
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("dk"), F.xxhash64(text).alias("h"), text.alias("text"))
     seen = settle(texts.mapInArrow(_occurrences, "fp long, dk long, h long, place long"), "anchors")
-    again = seen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    wanted = seen.join(again, "fp").groupBy("dk", "h").agg(F.collect_set("place").alias("places"))
-    bodies = texts.join(wanted.hint("shuffle_hash"), ["dk", "h"]).select("dk", "h", "text", "places").mapInArrow(_stretches, "fp long, dk long, h long, first long, body binary")
+    again = settle(seen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", (F.col("n") > crowd).alias("hot")), "again")
+    met = seen.join(again, "fp")
+
+    def at_places(hot: bool) -> DataFrame:
+        wanted = met.where("hot" if hot else "NOT hot").groupBy("dk", "h").agg(F.collect_set("place").alias("places"))
+        return texts.join(wanted.hint("shuffle_hash"), ["dk", "h"]).select("dk", "h", "text", "places")
+
+    bodies = at_places(False).mapInArrow(_stretches, "fp long, dk long, h long, first long, body binary")
     windows = bodies.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards, "dk long, h long, first long, last long")
+    if not again.where("hot").isEmpty():
+        each = settle(at_places(True).mapInArrow(_crowded, "key binary, dk long, h long, first long"), "crowded")
+        twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        windows = windows.unionByName(each.join(twice, "key").select("dk", "h", "first", F.col("first").alias("last")))
     spans = windows.groupBy("dk", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     whole = texts.join(spans.hint("shuffle_hash"), ["dk", "h"], "left").select("dk", "text", "spans")
     return whole.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")

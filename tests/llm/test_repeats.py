@@ -38,6 +38,9 @@ def test_edges(spark):
     rows += [(100 + i, join([f"u{i}_{k}" for k in range(30)], w[120:180], [f"v{i}_{k}" for k in range(30)])) for i in range(120)]  # more contexts than one automaton takes as they are
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df) == plain(rows)
+    for crowd in (1, 50):  # anchors of more occurrences are counted window by window
+        got = repeats.remove_repeats(df, crowd).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got) == plain(rows)
 
 
 def test_automaton_counts(spark):
