@@ -84,5 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Statements for those operators that SQL expresses."""
-    return {}
+    """Statements for those operators whose whole result SQL expresses."""
+    from .oracles import REPEATS, RULES
+
+    return {"op4_adaptive_rules": RULES, "op7_suffix_automata": REPEATS}
