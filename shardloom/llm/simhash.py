@@ -269,7 +269,8 @@ def keep_one(documents: DataFrame, shingle: int = 3) -> DataFrame:
     rooted = best.join(roots, best["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("_root"), "_first")
     keep = settle(rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_keep")), "kept")
     marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), row.alias("_row"))
-    return marked.join(keep, marked["_row"] == keep["_keep"], "left_semi").select("_doc.*")
+    # The kept rows' numbers grow with the documents: a shuffled join at every size, never a broadcast.
+    return marked.join(keep.hint("shuffle_hash"), marked["_row"] == keep["_keep"], "left_semi").select("_doc.*")
 
 
 def op5(documents: DataFrame) -> DataFrame:
