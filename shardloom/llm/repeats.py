@@ -299,7 +299,8 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     bodies = at_places(False).mapInArrow(_stretches, "fp long, dk long, h long, first long, body binary")
     windows = bodies.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards, "dk long, h long, first long, last long")
     if not again.where("hot").isEmpty():
-        each = settle(at_places(True).mapInArrow(_crowded, "key binary, dk long, h long, first long"), "crowded")
+        # In the same query as the rest, so that the texts' one shuffle serves this branch too.
+        each = at_places(True).mapInArrow(_crowded, "key binary, dk long, h long, first long")
         twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         windows = windows.unionByName(each.join(twice, "key").select("dk", "h", "first", F.col("first").alias("last")))
     spans = windows.groupBy("dk", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
