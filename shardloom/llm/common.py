@@ -55,11 +55,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into short ones, so that Python objects of few texts live at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into short ones, so that Python objects of few texts live at a time.
+
+    A slice has at most so many rows, and bytes too unless one row alone has more.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.nbytes > most and part.num_rows > 1:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def utf8(array: pa.Array) -> list[bytes]:

@@ -46,7 +46,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, *, capacity: int = C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             docs, rows, raws = [], [], []
             for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += end

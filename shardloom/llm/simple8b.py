@@ -40,14 +40,24 @@ BLOCK_IDS = 1 << 16
 BLOCKS_PER_FILE = 64
 
 
-def _widest(bits: np.ndarray, count: int) -> np.ndarray:
-    """For each place the most bits of the ``count`` ids from there (beyond the end: none)."""
-    out, have = bits, 1
-    while have < count:
-        step = min(have, count - have)
-        out = np.maximum(out, np.concatenate([out[step:], np.zeros(min(step, len(out)), out.dtype)])[: len(out)])
-        have += step
-    return out
+#: Bits of every value that fits the widest slot.
+_BITS = np.concatenate([[0], *(np.full(1 << k, k + 1) for k in range(20))]).astype(np.uint8)
+
+
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """For each place the selector that packs the most ids from there; beyond the end there is room."""
+    n = len(bits)
+    spans = {1: np.concatenate([bits, np.zeros(64, np.uint8)])}  # widest of 1, 2, 4, ... ids from a place
+    while 2 * max(spans) <= 60:
+        k = max(spans)
+        spans[2 * k] = np.maximum(spans[k][: len(spans[k]) - k], spans[k][k:])
+    choice = np.full(n, len(SELECTORS) - 1, np.uint8)
+    for s in range(len(SELECTORS) - 2, -1, -1):
+        count, width = SELECTORS[s]
+        k = 1 << (count.bit_length() - 1)
+        widest = np.maximum(spans[k][:n], spans[k][count - k : count - k + n])
+        choice[widest <= width] = s
+    return choice
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +67,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     escaped = ids[ids >= ESCAPE]
     values = np.minimum(ids, ESCAPE).astype(np.uint64)
-    bits = np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
-    choice = np.full(len(ids), len(SELECTORS) - 1, np.uint8)
-    for s in range(len(SELECTORS) - 2, -1, -1):
-        count, width = SELECTORS[s]
-        choice[_widest(bits, count) <= width] = s
+    choice = _choices(_BITS[values.astype(np.int64)])
     steps = np.array([c for c, _ in SELECTORS])[choice].tolist()
     starts, at, n = [], 0, len(ids)
     while at < n:
@@ -156,7 +162,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         ids, parts, size = [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             texts = batch.column(1).to_pylist()
             for doc, raw in zip(batch.column(0).to_pylist(), encode(texts)):
                 ids.append(doc)

@@ -2,19 +2,24 @@
 
 A byte-level BPE never merges across the place before a space that a non-space character follows.
 Texts are therefore cut there, every distinct unit is encoded once, and a text's ids are its
-units' ids in order: the same ids as encoding the text at once, for a fraction of the work.
+units' ids in order: the same ids as encoding the text at once, for a fraction of the work.  Of a
+batch of texts the distinct units are looked up, not all of them: the memory of known units is
+large, and each look into it is slow.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: Distinct units remembered by a worker; about 200 bytes each.  Beyond it the memory starts anew.
-UNITS = 350_000
+UNITS = 900_000
 _CHUNK = 4096
+_RUN = re.compile(r" (?:\s|$)")
 
 
 class UnitEncoder:
@@ -30,47 +35,64 @@ class UnitEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # tokens with a leading space
         self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # texts up to their first cut
 
     @staticmethod
     def units(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        out = [first]
-        for piece in rest:
-            if piece and not piece[0].isspace():
-                out.append(" " + piece)
-            else:  # part of a run of white space: stays with what is before it
+        """The first unit, and the others without their leading space."""
+        if not _RUN.search(text):  # every space opens a unit
+            return text.split(" ")
+        out: list[str] = []
+        for piece in text.split(" "):
+            if out and piece and not piece[0].isspace():
+                out.append(piece)
+            elif out:  # part of a run of white space: stays with what is before it
                 out[-1] += " " + piece
+            else:
+                out.append(piece)
         return out
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4") for e in found]
 
-    def _learn(self, units: set[str]) -> None:
-        plain = [u for u in units if u[:1] == " " and " " not in u[1:] and u != " "]
+    def _learn_first(self, texts: set[str]) -> None:
+        new = [t for t in texts if t not in self.first]
+        if len(self.first) > UNITS // 8:
+            self.first.clear()
+            new = list(texts)
+        self.first.update((t, ids.tobytes()) for t, ids in zip(new, self._whole(new)))
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode new units, each with its leading space."""
+        known = self.known
+        plain = [u for u in units if u and " " not in u]
+        left = [u for u in units if not u or " " in u]
         joined = [plain[i : i + _CHUNK] for i in range(0, len(plain), _CHUNK)]
-        left = list(units.difference(plain))
-        for part, ids in zip(joined, self._whole(["".join(p) for p in joined])):
+        for part, ids in zip(joined, self._whole([" " + " ".join(p) for p in joined])):
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):  # not cut as expected: one by one
                 left += part
                 continue
             raw, at = ids.tobytes(), (starts * 4).tolist() + [len(ids) * 4]
-            self.known.update((u, raw[at[k] : at[k + 1]]) for k, u in enumerate(part))
-        for u, ids in zip(left, self._whole(left)):
-            self.known[u] = ids.tobytes()
+            known.update((u, raw[at[k] : at[k + 1]]) for k, u in enumerate(part))
+        for u, ids in zip(left, self._whole([" " + u for u in left])):
+            known[u] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > UNITS:
+            self.known.clear()
         cut = [self.units(t) for t in texts]
+        opening = [u.pop(0) for u in cut]
+        self._learn_first(set(opening))
+        distinct = set(chain.from_iterable(cut))
         known = self.known
-        new = {u for units in cut for u in units if u not in known}
+        new = [u for u in distinct if u not in known]
         if new:
-            if len(known) > UNITS:
-                known.clear()
-                new = {u for units in cut for u in units}
             self._learn(new)
-        find = known.__getitem__
-        return [b"".join(map(find, units)) for units in cut]
+        found = {u: known[u] for u in distinct}
+        find, first = found.__getitem__, self.first
+        return [first[o] + b"".join(map(find, units)) for o, units in zip(opening, cut)]
 
 
 @lru_cache(maxsize=2)
