@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import decontaminate, packing, pii, quality, simhash
+from shardloom.llm import decontaminate, packing, pii, quality, similar
 from shardloom.llm.common import settle
 from shardloom.llm.queries import tokenizer_file
 
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of similar texts (five-word shingles, 0.8) stays: that of the smallest id."""
+    return similar.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
