@@ -4,7 +4,8 @@ Each text's counts give a few rates.  For every rate, language and source the ra
 quantile sketch: logarithmic buckets with their counts (relative error under one per cent).  Such
 sketches merge by adding counts, so they are one aggregation, partial before the shuffle, and
 the sketches of a language or of everything are sums of those of its sources.  The thresholds are
-fences about the quartiles; a group of few texts takes those of its language, a small language
+fences three interquartile ranges beyond the quartiles (where that range is about zero, a small
+fixed distance beyond them); a group of few texts takes those of its language, a small language
 those of all texts.  The verdicts follow from one join of the counts with the thresholds.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
@@ -27,14 +28,11 @@ SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Growth of the sketch's buckets; the relative error of a quantile is under half of it.
 GAMMA = 1.015
-#: Rate: (fence above, least distance above the median that fails, fence below, least distance below).
-#: Fences count interquartile ranges.
-RATES = {
-    "symbol_rate": (8.0, 0.05, None, None),
-    "mean_word": (6.0, 4.0, 6.0, 2.5),
-    "dup_line_rate": (8.0, 0.50, None, None),
-    "repeat_rate": (8.0, 0.20, None, None),
-}
+#: Fences lie so many interquartile ranges beyond the quartiles.
+FENCE = 3.0
+#: Rate: (least distance of a fence from its quartile, whether there is a fence below).  The distance
+#: only stands in for an interquartile range of about zero and covers the sketch's error.
+RATES = {"symbol_rate": (0.01, False), "mean_word": (0.25, True), "dup_line_rate": (0.05, False), "repeat_rate": (0.05, False)}
 LEAST_GROUP = 200
 BASE_WORDS, BASE_REPEATS = 10, 20
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -120,19 +118,20 @@ def thresholds(counts: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """lang, source and a map from rate to its (low, high)."""
     pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in RATES]), F.array(*rates().values()))).alias("rate", "value")
     by_source = settle(sketch(counts.where(~base_failed()).select("lang", "source", pairs), ["lang", "source", "rate"], "value"), "sketches")
-    quartiles = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    quartiles = {"q1": 0.25, "q3": 0.75}
     named = lambda df, p: df.select(*[c for c in ("lang", "source", "rate") if c in df.columns], *[F.col(c).alias(f"{p}{c}") for c in (*quartiles, "_n")])
     own = named(quantiles(by_source, ["lang", "source", "rate"], quartiles), "s_")
     language = named(quantiles(merge(by_source, ["lang", "rate"]), ["lang", "rate"], quartiles), "l_")
     whole = named(quantiles(merge(by_source, ["rate"]), ["rate"], quartiles), "w_")
     joined = own.join(language, ["lang", "rate"]).join(F.broadcast(whole), "rate")  # one row a rate
     pick = lambda c: F.when(F.col("s__n") >= least_group, F.col(f"s_{c}")).when(F.col("l__n") >= least_group, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    q1, q2, q3 = (pick(c) for c in quartiles)
+    q1, q3 = (pick(c) for c in quartiles)
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (up, up_least, down, down_least) in RATES.items():
-        high = F.when(F.col("rate") == name, F.greatest(q3 + up * (q3 - q1), q2 + up_least)).otherwise(high)
-        if down is not None:
-            low = F.when(F.col("rate") == name, F.least(q1 - down * (q3 - q1), q2 - down_least)).otherwise(low)
+    for name, (least, both) in RATES.items():
+        reach = F.greatest(FENCE * (q3 - q1), F.lit(least))
+        high = F.when(F.col("rate") == name, q3 + reach).otherwise(high)
+        if both:
+            low = F.when(F.col("rate") == name, q1 - reach).otherwise(low)
     fences = joined.select("lang", "source", "rate", low.alias("low"), high.alias("high"))
     return fences.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", F.struct("low", "high")))).alias("fences"))
 

@@ -46,3 +46,24 @@ def test_quantiles_of_merged_sketches(spark):
         for name, q in at.items():
             true = values[int(np.ceil(q * len(values))) - 1]
             assert abs(found[name] - true) <= 0.008 * true + 1e-12
+
+
+def test_each_rate_rejects_by_itself(spark):
+    plain = [(i, "\n".join(f"w{i}x{j} these{j} are quite ordinary words" for j in range(20)), "en", "a") for i in range(300)]
+    clean = plain[0][1]
+    ordinary = [f"v{j} these{j} are quite ordinary words" for j in range(20)]
+    stray = {
+        "symbol_rate": clean.replace("quite", "qui#e", 12),
+        "mean_word": clean.replace("ordinary", "extraordinarily"),
+        "mean_word below": clean.replace("ordinary", "o").replace("quite", "q"),
+        "dup_line_rate": "\n".join([*ordinary[:11], *(["ordinary"] * 4), *(["quite"] * 6)]),  # 8 of 21 lines
+        "repeat_rate": "\n".join([*ordinary[:10], "a once said thing again and a once said thing again"]),
+    }
+    for name, text in stray.items():
+        n, chars, symbols, dup, again, lines = rules.text_counts(text)
+        assert 100 * again <= 20 * n, name  # the base rule keeps each
+    odd = [(1000 + k, text, "en", "a") for k, text in enumerate(stray.values())]
+    got = {r.doc_id: r for r in rules.op4(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(got[i].base_failed for i, *_ in odd)
+    assert {name: got[1000 + k].kept for k, name in enumerate(stray)} == dict.fromkeys(stray, False)
