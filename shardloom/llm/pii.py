@@ -167,7 +167,10 @@ def score_patterns(entities: DataFrame, free: DataFrame, rounds: int = ROUNDS) -
     seed = entities.select("kind", F.lower("match").alias("instance"), "_row", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
     rest = free.select(F.lit(None).cast("string").alias("kind"), F.lower("match").alias("instance"), "_row", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
     # A seed is certain for its kind, and certainly not of the other kinds.
-    edges = settle(seed.unionByName(rest).groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.approx_count_distinct("_row").alias("_rows")), "pii-edges")
+    edges = settle(seed.unionByName(rest).groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "pii-edges")
+    # A pattern's documents, each once however many instances it has there.
+    places = seed.select("pattern", "_row").unionByName(rest.select("pattern", "_row")).distinct()
+    support = settle(places.groupBy("pattern").agg(F.count("*").alias("documents")), "pii-documents")
     kinds = F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind")
     # Only patterns that a seed of the kind has can score; the others never leave zero in the first
     # round, and in later rounds they can by instances shared with them.
@@ -179,7 +182,7 @@ def score_patterns(entities: DataFrame, free: DataFrame, rounds: int = ROUNDS) -
             shape |= (F.col("kind") == kind) & F.col("instance").rlike(pattern)
         spread = edges.join(scores.select("instance", "kind", "s"), "instance", "left")
         # Every instance of a pattern weighs on it, those of another kind (or none) with zero.
-        totals = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("_rows").alias("documents"))
+        totals = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(support, "pattern")
         part = spread.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
         ranked = settle(part.join(totals, "pattern").select("kind", "pattern", (F.col("s") / (F.col("n") + F.lit(SHRINK))).alias("score"), F.col("n").alias("instances"), "documents"), "pii-patterns")
         if k + 1 < rounds:

@@ -78,6 +78,17 @@ def test_patterns_find_unseen_identifiers(spark, tmp_path):
     assert got[205].spans == got[206].spans == ""
 
 
+def test_a_pattern_of_one_document_adds_nothing(spark, tmp_path):
+    """Many instances in one text are no support for places in other texts."""
+    listed = " ; ".join(f"reach us at +1 555 {100 + i} {1000 + i} anytime soon" for i in range(80))
+    rows = [listed, "the record kept at reach us at 555-1234 anytime soon", "plain words only"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = {x.doc_id: x for x in op2(df).collect()}
+    assert got[0].n_phone == 80 and got[1].spans == ""
+    assert {x.doc_id: x.text for x in mask_spans(df).collect()}[1] == rows[1]
+
+
 @pytest.mark.parametrize("which", ["documents", "nothing"])
 def test_odd_rows(which, request, rows):
     df = request.getfixturevalue(which)
