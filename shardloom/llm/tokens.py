@@ -4,7 +4,8 @@ A byte-level BPE never merges across the place before a space that a non-space c
 Texts are therefore cut there, every distinct unit is encoded once, and a text's ids are its
 units' ids in order: the same ids as encoding the text at once, for a fraction of the work.  Of a
 batch of texts the distinct units are looked up, not all of them: the memory of known units is
-large, and each look into it is slow.
+large, and each look into it is slow.  A text that holds an added token's string, such as
+``<|endoftext|>``, is encoded at once: the library matches those before it cuts anything.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text in a document
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # tokens with a leading space
@@ -80,6 +82,14 @@ class UnitEncoder:
             known[u] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        holds = [bool(self.added and self.added.search(t)) for t in texts]
+        if not any(holds):
+            return self._encode(texts)
+        whole = iter(self._whole([t for t, h in zip(texts, holds) if h]))
+        plain = iter(self._encode([t for t, h in zip(texts, holds) if not h]))
+        return [next(whole).tobytes() if h else next(plain) for h in holds]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > UNITS:
             self.known.clear()
         cut = [self.units(t) for t in texts]

@@ -28,6 +28,15 @@ def test_units_encode_as_whole_texts(encode):
         assert np.frombuffer(raw, "<u4").tolist() == encode(text), repr(text)
 
 
+def test_added_tokens_encode_as_the_library_does(encode):
+    r = random.Random(8)
+    parts = [" ", "a", "word", "<|endoftext|>", " <|endoftext|> ", "<|endof", "text|>", "\n", "é", "<|endoftext|"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", " <|endoftext|>", "plain words", ""] + ["".join(r.choices(parts, k=r.randrange(12))) for _ in range(500)]
+    assert encode(texts[0]) == [505, 220, 50256, 734]
+    for text, raw in zip(texts, encoder(tokenizer_file()).encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == encode(text), repr(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 119, 5000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)
