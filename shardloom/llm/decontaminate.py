@@ -10,7 +10,10 @@ independent walks is sampled at a few places; a window that agrees with its item
 of any walk is a candidate, and a bit-parallel edit distance decides.
 
 With ``SAMPLES`` places a walk, ``WALKS`` walks and a Hamming distance of a share h of the walk, a
-window is missed with probability (1 - (1 - h)^SAMPLES)^WALKS: under 2 % at h = 0.65.
+window is missed with probability (1 - (1 - h)^SAMPLES)^WALKS: under 2 % at h = 0.65.  Walks drift
+apart with their length, so an item of more than ``SEGMENT`` words is embedded in equal segments of
+at most as many: one of them has no more than its share of the edits.  A shared run's own offset
+places its segment in the document; a segment that agrees makes the whole item a candidate there.
 
 The items are broadcast in blocks whose bytes are bounded, and every block passes over all
 documents.
@@ -35,10 +38,14 @@ from .common import slices, text_or_empty, utf8
 SHARE = 0.2
 WALKS, SAMPLES = 32, 2
 SEED_WORDS = 3
+#: Words that walks are compared over; longer items are embedded in parts.
+SEGMENT = 60
 #: Bytes of item text a broadcast may hold.
 BLOCK_BYTES = 8_000_000
 
 _CLEAN = bytes.maketrans(bytes(c for c in range(33, 127) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(33, 127)))
+#: More than any item has words: (item, word) as one number.
+_FAR = 1 << 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,6 +88,8 @@ class Items:
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     keys: np.ndarray | None = None
     places: np.ndarray | None = None
+    first: np.ndarray | None = None  # by item: its first segment, and at the end their number
+    parts: np.ndarray | None = None  # by segment: its first word in the item, and its words
     _sizes: np.ndarray | None = None
 
     @classmethod
@@ -108,17 +117,20 @@ class Items:
         if words:
             rng = np.random.default_rng(20_240_501)
             share = rng.random((WALKS, SAMPLES))
-            n = np.array([len(w) for w in words])
-            # A walk of 3/2 n steps ends near the item's last word.
+            cuts = [np.linspace(0, len(w), -(-len(w) // SEGMENT) + 1).astype(np.int64) for w in words]
+            out.first = np.cumsum([0, *(len(c) - 1 for c in cuts)])
+            out.parts = np.concatenate([np.column_stack([c[:-1], np.diff(c)]) for c in cuts])
+            n = out.parts[:, 1]
+            # A walk of 3/2 n steps ends near the segment's last word.
             out.places = np.floor(share[None] * (3 * n // 2)[:, None, None]).astype(np.int64)
-            flat = np.concatenate(words)
+            flat = np.concatenate(words)  # segments follow each other as the words do
             starts = np.cumsum(n) - n
-            out.keys = out.embed(flat, starts, starts + n, np.arange(len(words)))
+            out.keys = out.embed(flat, starts, starts + n, np.arange(len(n)))
         return out
 
-    def embed(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, item: np.ndarray) -> np.ndarray:
+    def embed(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """The sampled words of every walk: (window, walk, sample)."""
-        places = self.places[item]
+        places = self.places[segment]
         steps = int(places.max(initial=0)) + 1
         padded = np.append(flat, 0)
         written = np.empty((steps, len(start), WALKS), np.int64)
@@ -160,7 +172,7 @@ class Items:
             p, slot = p[hit], slot[hit]
             count = span[slot, 1]
             row = np.repeat(span[slot, 0], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-            pairs.append(np.column_stack([item[row], np.repeat(p, count) - at[row]]))
+            pairs.append(np.column_stack([item[row], np.repeat(p, count) - at[row], at[row]]))
         if not pairs or not sum(map(len, pairs)):
             return []
         hits = np.concatenate(pairs)
@@ -172,20 +184,30 @@ class Items:
         wide = len(ids) + 2 * int(sizes[:, 0].max()) + 1
         line = hits[:, 0] * (4 * wide) + hits[:, 1] + wide
         about = np.searchsorted(line, line + 2 * k, "right") - np.searchsorted(line, line - 2 * k)
-        windows = np.unique(hits[about >= least], axis=0)
-        which, start = windows[:, 0], np.maximum(windows[:, 1], 0)
-        n = sizes[which, 0]
+        hits = hits[about >= least]
+        # The segment that a run starts in: the last one that begins at or before it.
+        edge = self.parts[:, 0] + np.repeat(np.arange(len(self.words)), np.diff(self.first)) * _FAR
+        hits[:, 2] = np.searchsorted(edge, hits[:, 0] * _FAR + hits[:, 2], "right") - 1
+        windows = np.unique(hits, axis=0)
+        which, segment = windows[:, 0], windows[:, 2]
+        begin, n = self.parts[segment].T
+        start = np.maximum(windows[:, 1] + begin, 0)
         best: dict[int, tuple[int, int, int]] = {}
+        tried: set[tuple[int, int]] = set()
         for at in range(0, len(windows), 512):
             part = slice(at, at + 512)
-            sampled = self.embed(ids, start[part], np.minimum(start[part] + n[part] + (SHARE * n[part]).astype(np.int64), len(ids)), which[part])
-            agree = (sampled == self.keys[which[part]]).all(axis=2).any(axis=1)
+            sampled = self.embed(ids, start[part], np.minimum(start[part] + n[part] + (SHARE * n[part]).astype(np.int64), len(ids)), segment[part])
+            agree = (sampled == self.keys[segment[part]]).all(axis=2).any(axis=1)
             for i in np.flatnonzero(agree) + at:
-                item, s, k = int(which[i]), int(start[i]), allowed(int(n[i]))
-                low, high = max(0, s - k), min(len(ids), s + int(n[i]) + k)
+                item, s = int(which[i]), max(int(windows[i, 1]), 0)
+                if (item, s) in tried:  # by another segment
+                    continue
+                tried.add((item, s))
+                size, k = int(sizes[item, 0]), int(sizes[item, 1])
+                low, high = max(0, s - k), min(len(ids), s + size + k)
                 distance, end = edit_search(self.words[item], ids[low:high])
                 if distance <= k and (item not in best or distance < best[item][0]):
-                    best[item] = distance, max(low, low + end - int(n[i])), low + end
+                    best[item] = distance, max(low, low + end - size), low + end
         return [(i, *found) for i, found in sorted(best.items())]
 
 

@@ -68,6 +68,29 @@ def test_recall_and_precision(spark, bench):
             assert distance <= d.allowed(n)
 
 
+@pytest.mark.parametrize("kind", ["s", "i", "d", "sid"])
+def test_recall_of_long_items(kind):
+    """Items of hundreds of words at the allowed edits, of each kind: walks over whole items lose half of them."""
+    r = random.Random(21)
+    words = ["".join(r.choices("klmnopqrst", k=r.randrange(3, 8))) for _ in range(3000)]
+    filler = [f"f{i}" for i in range(2000)] + words[:300]
+    items = [r.choices(words, k=n) for n in (61, 150, 300, 400, 700) for _ in range(6)]
+    block = d.Items.of([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    found = 0
+    for i, own in enumerate(items):
+        out = [[w] for w in own]
+        for k in r.sample(range(len(own)), d.allowed(len(own))):
+            what = r.choice(kind)
+            out[k] = ["other"] if what == "s" else ["more", own[k]] if what == "i" else []
+        text = " ".join([*r.choices(filler, k=80), *(w for part in out for w in part), *r.choices(filler, k=80)])
+        got = block.search(text.encode())
+        assert all(distance <= d.allowed(len(items[item])) for item, distance, *_ in got)
+        found += i in [item for item, *_ in got]
+    assert found / len(items) >= 0.97
+    half = " ".join([*r.choices(filler, k=50), *items[20][:150], *r.choices(filler, k=50)])
+    assert not block.search(half.encode())
+
+
 def test_blocks_of_items_answer_alike(spark, bench):
     items, _ = bench
     docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
