@@ -14,6 +14,9 @@ automaton.  In a shard of many distinct stretches (a passage that very many docu
 in its own context) the parts that can't repeat, by counts of window hashes, are cut off before the
 automaton is built; its size follows the repeated words, not the quoting documents.
 
+An anchor of more than ``CROWD`` occurrences has no automaton, which would be one task's burden: its
+windows are counted one by one by their 128-bit digests, aggregated before the shuffle.
+
 Defined results: null and empty texts have no words and nothing removed; repeated rows repeat each
 other's windows; a null doc_id is a document like others; an empty table gives no rows.
 """
