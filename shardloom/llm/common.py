@@ -18,18 +18,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 def workspace(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a local session, as in tests) a temporary folder is made
-    and remembered in the session.
+    A local session that names none (one machine, as in tests) gets a temporary folder, which is
+    remembered in the session.  On a cluster executors wouldn't share such a folder: an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders that this process made in the shared folder and that still exist, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
@@ -42,6 +49,30 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_so_far() -> int:
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the intermediate tables made after ``since``, but for the last ``keep`` of them.
+
+    Only for tables that no frame still to be run reads.
+    """
+    upto = max(since, len(_made) - keep)
+    for path in _made[since:upto]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _made[since:upto]
+
+
+def numbered(documents: DataFrame, tag: str, *columns: Column | str) -> DataFrame:
+    """The rows (or the given columns of them) with ``_row``, a number that is written once.
+
+    Numbers taken in two scans of one source may differ, as its splits follow the executors alive.
+    """
+    return settle(documents.select(*(columns or ["*"]), F.monotonically_increasing_id().alias("_row")), tag)
+
+
 def id_bytes(column: str = "doc_id") -> Column:
     """The id as text, empty for null, as the fold rules hash it."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

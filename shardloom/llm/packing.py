@@ -46,7 +46,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, *, capacity: int = C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 2048, 6_000_000):
             docs, rows, raws = [], [], []
             for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += end
@@ -59,14 +59,14 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, *, capacity: int = C
                     if with_ids:
                         raws.append(ids)
             table = np.array(rows, np.int64).reshape(-1, 4)
-            columns = [pa.array(docs, pa.int64()), pa.array(table[:, 0].astype("int32")), *(pa.array(table[:, i]) for i in (1, 2, 3))]
+            columns = [pa.array(docs, batch.column(0).type), pa.array(table[:, 0].astype("int32")), *(pa.array(table[:, i]) for i in (1, 2, 3))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns, names = [*columns, pa.array(raws, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    source = documents.select("doc_id", text_or_empty().alias("text"))
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return source.mapInArrow(run, schema)
 
 

@@ -12,7 +12,8 @@ offsets any group can be decoded alone.  All integers are little-endian.
 
 Defined results: a null or empty text is a document of the end id alone; documents of equal id are
 ordered by the hash of their text; null ids come first; an empty table gives an empty file set and
-no rows.
+no rows.  The format's document ids are 64-bit integers: an id column of another type is cast, and
+an id that no such integer stands for is null.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ HEADER = struct.Struct("<6I")
 #: A block is closed at the first document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCKS_PER_FILE = 64
+#: Parts whose ids are summed together before blocks of parts are.
+PARTS = 1024
 
 
 #: Bits of every value that fits the widest slot.
@@ -162,7 +165,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         ids, parts, size = [], [], 0
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 2048, 6_000_000):
             texts = batch.column(1).to_pylist()
             for doc, raw in zip(batch.column(0).to_pylist(), encode(texts)):
                 ids.append(doc)
@@ -228,12 +231,26 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     schema = "file string, place long, doc_id long, _at long, n_tokens long, ids_crc32 long"
     found = settle(_files(spark, path).mapInArrow(run, schema), "token-digest")
     per_file = found.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    number = F.struct(F.regexp_extract("file", r"^part-(\d+)", 1).cast("int"), F.regexp_extract("file", r"-c(\d+)", 1).cast("int"))
-    # One row a file of many documents: this window sees files, never documents.
-    starts = per_file.select("file", (F.sum("_n").over(Window.orderBy(number)) - F.col("_n")).alias("_before"))
+    starts = _ids_before(per_file)
     return found.join(starts, "file").select("doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _ids_before(per_file: DataFrame) -> DataFrame:
+    """(file, _before) from (file, _n), in three levels: files of a part, parts of a block of ``PARTS``, blocks.
+
+    Each window sees the rows of one part or block; the last, over blocks, has a row for ``PARTS`` parts.
+    """
+    part, piece = (F.regexp_extract("file", x, 1).cast("long") for x in (r"^part-(\d+)", r"-c(\d+)"))
+    files = per_file.select("file", "_n", part.alias("_part"), piece.alias("_piece")).withColumn("_block", F.expr(f"_part div {PARTS}"))
+    before = lambda *by: F.sum("_n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("_n")
+    parts = files.groupBy("_block", "_part").agg(F.sum("_n").alias("_n"))
+    blocks = parts.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    of_block = blocks.select(F.col("_block").alias("_b"), before("_block").alias("_z"))
+    of_part = parts.select("_block", F.col("_part").alias("_p"), before("_block", "_part").alias("_y")).join(of_block, F.col("_block") == F.col("_b")).select("_p", (F.col("_y") + F.col("_z")).alias("_y"))
+    of_file = files.select("file", "_part", before("_part", "_piece").alias("_x"))
+    return of_file.join(of_part, F.col("_part") == F.col("_p")).select("file", (F.col("_x") + F.col("_y")).alias("_before"))
+
+
 def op3(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     path = fresh_path(documents.sparkSession, "token-files")
     write_token_files(documents, path, tokenizer_path)

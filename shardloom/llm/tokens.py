@@ -1,26 +1,63 @@
 """Whole texts to token ids with a public tokenizer file, by units that repeat across texts.
 
 A byte-level BPE never merges across the place before a space that a non-space character follows.
-Texts are therefore cut there, every distinct unit is encoded once, and a text's ids are its
-units' ids in order: the same ids as encoding the text at once, for a fraction of the work.  Of a
-batch of texts the distinct units are looked up, not all of them: the memory of known units is
-large, and each look into it is slow.  A text that holds an added token's string, such as
-``<|endoftext|>``, is encoded at once: the library matches those before it cuts anything.
+Texts are therefore cut there, every distinct unit of a batch is looked up once, and a text's ids
+are its units' ids in order: the same ids as encoding the text at once, for a fraction of the work.
+A text that holds an added token's string, such as ``<|endoftext|>``, is encoded at once: the
+library matches those before it cuts anything.  A file whose rule is another one is used without any cutting.
+
+Known units are kept in two generations of bounded bytes, for one task: the older is dropped when
+the younger is full, so that frequent units stay.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-
-#: Distinct units remembered by a worker; about 200 bytes each.  Beyond it the memory starts anew.
-UNITS = 900_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of known units, both generations together, and of a unit that is worth keeping.
+MEMORY = 64_000_000
+_LONGEST = 96
+#: What an entry takes besides its characters and ids: two objects and a slot.
+_ENTRY = 220
 _CHUNK = 4096
-_RUN = re.compile(r" (?:\s|$)")
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\""
+#: A space that doesn't open a unit, as the text's last character or before more white space.
+_RUN = re.compile(r" (?:\s|\Z)")
+_RUN_RE2 = " ([\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
+
+
+class Memory:
+    """A dictionary of bounded bytes, in two generations."""
+
+    def __init__(self, most: int = MEMORY) -> None:
+        self.most, self.size = most // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.young.get, keys))
+        if self.old:
+            older = [i for i, x in enumerate(out) if x is None]
+            met = [(i, x) for i, x in zip(older, map(self.old.get, [keys[i] for i in older])) if x is not None]
+            for i, x in met:
+                out[i] = x
+            self.put([keys[i] for i, _ in met], [x for _, x in met])
+        return out
+
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        for at in range(0, len(keys), _CHUNK):
+            if self.size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            new = [(k, v) for k, v in zip(keys[at : at + _CHUNK], values[at : at + _CHUNK]) if len(k) <= _LONGEST]
+            self.young.update(new)
+            self.size += sum([_ENTRY + 2 * len(k) + len(v) for k, v in new])
 
 
 class UnitEncoder:
@@ -33,11 +70,21 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cuts = made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.cuts = self.cuts and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # tokens with a leading space
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # texts up to their first cut
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow in order from 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.forget()
+
+    def forget(self) -> UnitEncoder:
+        self.known, self.tails = Memory(), {}
+        return self
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -54,57 +101,125 @@ class UnitEncoder:
                 out.append(piece)
         return out
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4") for e in found]
-
-    def _learn_first(self, texts: set[str]) -> None:
-        new = [t for t in texts if t not in self.first]
-        if len(self.first) > UNITS // 8:
-            self.first.clear()
-            new = list(texts)
-        self.first.update((t, ids.tobytes()) for t, ids in zip(new, self._whole(new)))
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units, each with its leading space."""
-        known = self.known
-        plain = [u for u in units if u and " " not in u]
-        left = [u for u in units if not u or " " in u]
-        joined = [plain[i : i + _CHUNK] for i in range(0, len(plain), _CHUNK)]
-        for part, ids in zip(joined, self._whole([" " + " ".join(p) for p in joined])):
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):  # not cut as expected: one by one
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _of(self, units: list[str]) -> list[bytes]:
+        """ids of distinct units, each with its leading space: those of its word, then of the signs at its end."""
+        words = []
+        for u in units:
+            w = u.rstrip(_SIGNS)
+            # The rule cuts between a letter or digit and a sign, and signs that end a unit are one piece.
+            words.append(w if len(u) <= len(w) + 3 and w and w[-1].isalnum() and w[-1] < "\u0250" else u)
+        distinct = list(dict.fromkeys(words))
+        ids = dict(zip(distinct, self._words(distinct)))
+        return [ids[w] if w is u or len(w) == len(u) else ids[w] + self._tail(u[len(w) :]) for u, w in zip(units, words)]
+
+    def _tail(self, signs: str) -> bytes:
+        found = self.tails.get(signs)
+        if found is None:
+            (found,) = self._whole([signs])
+            self.tails[signs] = found  # a few signs each: hundreds at most
+        return found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = self.known.find(words)
+        new = [i for i, x in enumerate(out) if x is None]
+        letters = [i for i in new if words[i].isalpha() and (words[i].isascii() or max(words[i]) < "\u0250")]
+        taken = set(letters)
+        rest = [i for i in new if i not in taken]
+        plain = [i for i in rest if words[i] and " " not in words[i]]
+        left = [i for i in rest if not words[i] or " " in words[i]]
+        # Letters of the Latin blocks are one piece to the rule: they go straight to the library's model.
+        cut, ids, size = self.tokenizer.model.tokenize, [], []
+        for i in letters:
+            w = words[i]
+            found = [t.id for t in cut("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)))]
+            ids += found
+            size.append(4 * len(found))
+        raw, at = np.array(ids, "<u4").tobytes(), 0
+        for i, n in zip(letters, size):
+            out[i] = raw[at : at + n]
+            at += n
+        # Many others are encoded as one text, and cut where a token opens with a space.
+        for at in range(0, len(plain), _CHUNK):
+            part = plain[at : at + _CHUNK]
+            (raw,) = self._whole([" " + " ".join([words[i] for i in part])])
+            ids = np.frombuffer(raw, "<u4")
+            edge = np.flatnonzero(self.opens[ids])
+            if len(edge) != len(part):  # not cut as expected: one by one
                 left += part
                 continue
-            raw, at = ids.tobytes(), (starts * 4).tolist() + [len(ids) * 4]
-            known.update((u, raw[at[k] : at[k + 1]]) for k, u in enumerate(part))
-        for u, ids in zip(left, self._whole([" " + u for u in left])):
-            known[u] = ids.tobytes()
+            edge = (edge * 4).tolist() + [len(raw)]
+            for k, i in enumerate(part):
+                out[i] = raw[edge[k] : edge[k + 1]]
+        for at in range(0, len(left), _CHUNK):
+            part = left[at : at + _CHUNK]
+            for i, found in zip(part, self._whole([" " + words[i] for i in part])):
+                out[i] = found
+        self.known.put([words[i] for i in new], [out[i] for i in new])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        holds = [bool(self.added and self.added.search(t)) for t in texts]
-        if not any(holds):
-            return self._encode(texts)
-        whole = iter(self._whole([t for t, h in zip(texts, holds) if h]))
-        plain = iter(self._encode([t for t, h in zip(texts, holds) if not h]))
-        return [next(whole).tobytes() if h else next(plain) for h in holds]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > UNITS:
-            self.known.clear()
-        cut = [self.units(t) for t in texts]
-        opening = [u.pop(0) for u in cut]
-        self._learn_first(set(opening))
-        distinct = set(chain.from_iterable(cut))
-        known = self.known
-        new = [u for u in distinct if u not in known]
-        if new:
-            self._learn(new)
-        found = {u: known[u] for u in distinct}
-        find, first = found.__getitem__, self.first
-        return [first[o] + b"".join(map(find, units)) for o, units in zip(opening, cut)]
+        if not self.cuts:
+            return self._whole(texts)
+        if not texts:
+            return []
+        column = pa.array(texts, pa.large_string())
+        apart = np.array([bool(self.added and self.added.search(t)) for t in texts])
+        ragged = pc.match_substring_regex(column, _RUN_RE2).to_numpy(zero_copy_only=False) & ~apart
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(np.flatnonzero(apart), self._whole([t for t, a in zip(texts, apart) if a])):
+            out[i] = ids
+        for i in np.flatnonzero(ragged):
+            first, *rest = self.units(texts[i])
+            distinct = list(dict.fromkeys(rest))
+            ids = dict(zip(distinct, self._of(distinct)))
+            out[i] = self._whole([first])[0] + b"".join(map(ids.__getitem__, rest))
+        even = np.flatnonzero(~(apart | ragged))
+        if len(even):
+            for i, ids in zip(even, self._even(column.take(pa.array(even)))):
+                out[i] = ids
+        return out
+
+    def _even(self, column: pa.LargeStringArray) -> list[bytes]:
+        """ids of texts in which every space opens a unit."""
+        cut = pc.split_pattern(column, " ")
+        at = cut.offsets.to_numpy()
+        at = at - at[0]
+        coded = cut.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        first = code[at[:-1]]
+        words = coded.dictionary
+        inner = np.ones(len(code), bool)
+        inner[at[:-1]] = False  # a text's first unit has no leading space
+        used = np.zeros(len(words), bool)
+        used[code[inner]] = True
+        used = np.flatnonzero(used)
+        parts: list[bytes] = [b""] * len(words)
+        for i, ids in zip(used.tolist(), self._of(words.take(pa.array(used)).to_pylist())):
+            parts[i] = ids
+        opening = np.unique(first)
+        place = np.zeros(len(words), np.int64)
+        place[opening] = len(words) + np.arange(len(opening))
+        parts += self._whole(words.take(pa.array(opening)).to_pylist())
+        code[at[:-1]] = place[first]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        count = size[code]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat(start[code] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+        edge = np.concatenate([[0], stop])[at]
+        return [ids[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
+def _loaded(path: str) -> UnitEncoder:
     return UnitEncoder(path)
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The file's encoder, knowing no unit yet: a task's own."""
+    return _loaded(path).forget()
