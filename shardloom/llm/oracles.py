@@ -21,7 +21,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(g.n_removed,
 FROM d LEFT JOIN g ON g.r = d.r
 """
 
-#: Counts, the base rule, and fences about the quartiles of logarithmic buckets.
+#: Counts, the base rule, and fences about quartiles of logarithmic buckets, drawn towards the language's and all texts'.
 RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 p AS (SELECT r, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
@@ -37,8 +37,9 @@ c AS (
 ),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 v AS (
-  SELECT r, lang, source, base_failed, unnest(['symbol_rate', 'mean_word', 'dup_line_rate', 'repeat_rate']) AS rate,
-    unnest([coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0), coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0), coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0)]) AS x
+  SELECT r, lang, source, base_failed, unnest(['symbol_rate', 'mean_word', 'dup_line_rate', 'repeat_rate', 'word_chars', 'n_lines', 'n_words']) AS rate,
+    unnest([coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0), coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0), coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0),
+      word_chars::DOUBLE, n_lines::DOUBLE, n_words::DOUBLE]) AS x
   FROM f
 ),
 b AS (SELECT lang, source, rate, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln(1.015::DOUBLE)) AS INT) END AS bucket FROM v WHERE NOT base_failed),
@@ -52,14 +53,15 @@ a AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY buc
 q AS (SELECT level, lang, source, rate, min(middle) FILTER (WHERE upto >= 0.25 * total) AS q1, min(middle) FILTER (WHERE upto >= 0.5 * total) AS q2, min(middle) FILTER (WHERE upto >= 0.75 * total) AS q3, max(total) AS n FROM a GROUP BY ALL),
 h AS (
   SELECT s.lang, s.source, s.rate,
-    CASE WHEN s.n >= 200 THEN s.q1 WHEN l.n >= 200 THEN l.q1 ELSE w.q1 END AS q1, CASE WHEN s.n >= 200 THEN s.q2 WHEN l.n >= 200 THEN l.q2 ELSE w.q2 END AS q2,
-    CASE WHEN s.n >= 200 THEN s.q3 WHEN l.n >= 200 THEN l.q3 ELSE w.q3 END AS q3
+    (s.n * s.q1 + 100 * ((l.n * l.q1 + 100 * w.q1) / (l.n + 100))) / (s.n + 100) AS q1, (s.n * s.q2 + 100 * ((l.n * l.q2 + 100 * w.q2) / (l.n + 100))) / (s.n + 100) AS q2,
+    (s.n * s.q3 + 100 * ((l.n * l.q3 + 100 * w.q3) / (l.n + 100))) / (s.n + 100) AS q3
   FROM q s JOIN q l ON l.level = 'l' AND l.lang = s.lang AND l.rate = s.rate JOIN q w ON w.level = 'w' AND w.rate = s.rate WHERE s.level = 's'
 ),
 t AS (
-  SELECT lang, source, rate, CASE rate WHEN 'mean_word' THEN greatest(q3 + 6 * (q3 - q1), q2 + 4) ELSE greatest(q3 + 8 * (q3 - q1), q2 + CASE rate WHEN 'symbol_rate' THEN 0.05 WHEN 'dup_line_rate' THEN 0.5 ELSE 0.2 END) END AS high,
-    CASE rate WHEN 'mean_word' THEN least(q1 - 6 * (q3 - q1), q2 - 2.5) END AS low
-  FROM h
+  SELECT h.lang, h.source, h.rate, h.q3 + greatest(3 * (h.q3 - h.q1), CASE h.rate WHEN 'symbol_rate' THEN 3 / greatest(z.q2, 1) WHEN 'dup_line_rate' THEN 3 / greatest(z.q2, 1) WHEN 'repeat_rate' THEN 30 / greatest(z.q2, 1) ELSE 0.03 * h.q3 END) AS high,
+    CASE h.rate WHEN 'mean_word' THEN h.q1 - greatest(3 * (h.q3 - h.q1), 0.03 * h.q3) END AS low
+  FROM h LEFT JOIN h z ON z.lang = h.lang AND z.source = h.source AND z.rate = CASE h.rate WHEN 'symbol_rate' THEN 'word_chars' WHEN 'dup_line_rate' THEN 'n_lines' WHEN 'repeat_rate' THEN 'n_words' END
+  WHERE h.rate IN ('symbol_rate', 'mean_word', 'dup_line_rate', 'repeat_rate')
 ),
 j AS (SELECT v.r, bool_and(coalesce(v.x <= t.high, true) AND coalesce(v.x >= t.low, true)) AS inside FROM v LEFT JOIN t ON t.lang = v.lang AND t.source = v.source AND t.rate = v.rate GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM f JOIN j ON j.r = f.r

@@ -3,10 +3,14 @@
 Each text's counts give a few rates.  For every rate, language and source the rates go into a
 quantile sketch: logarithmic buckets with their counts (relative error under one per cent).  Such
 sketches merge by adding counts, so they are one aggregation, partial before the shuffle, and
-the sketches of a language or of everything are sums of those of its sources.  The thresholds are
-fences three interquartile ranges beyond the quartiles (where that range is about zero, a small
-fixed distance beyond them); a group of few texts takes those of its language, a small language
-those of all texts.  The verdicts follow from one join of the counts with the thresholds.
+the sketches of a language or of everything are sums of those of its sources.
+
+The thresholds are fences about the quartiles: beyond them by three interquartile ranges, or, where
+most texts have a rate of zero and that range says nothing, by what a few events make in a text of the
+group's median size, which comes from a sketch too.  Every quartile and median is drawn towards that of
+the language, and a language's towards that of all texts, with the weight of ``PRIOR`` texts: small
+groups follow their language, large ones themselves.  The verdicts follow from one join of the counts
+with the thresholds.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
 sources are groups of their own (as the empty string); repeated rows count each; an empty table
@@ -30,10 +34,14 @@ SPACE = " \t\n\x0b\x0c\r"
 GAMMA = 1.015
 #: Fences lie so many interquartile ranges beyond the quartiles.
 FENCE = 3.0
-#: Rate: (least distance of a fence from its quartile, whether there is a fence below).  The distance
-#: only stands in for an interquartile range of about zero and covers the sketch's error.
-RATES = {"symbol_rate": (0.01, False), "mean_word": (0.25, True), "dup_line_rate": (0.05, False), "repeat_rate": (0.05, False)}
-LEAST_GROUP = 200
+#: Rate: (events that a text of median size may have beyond the quartile, that size; None: the sketch's
+#: own error instead, and a fence below too).
+RATES = {"symbol_rate": (3, "word_chars"), "mean_word": None, "dup_line_rate": (3, "n_lines"), "repeat_rate": (30, "n_words")}
+SIZES = ("word_chars", "n_lines", "n_words")
+#: Texts that a language weighs against a source's own, and all texts against a language's own.
+PRIOR = 100
+#: Threshold rows that are broadcast; more are joined by shuffle, with a hot group's texts dealt over ``SALT`` parts.
+BROADCAST, SALT = 100_000, 32
 BASE_WORDS, BASE_REPEATS = 10, 20
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -114,40 +122,50 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
     return ranked.groupBy(*keys).agg(*picks, F.max("_of").alias("_n"))
 
 
-def thresholds(counts: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def thresholds(counts: DataFrame) -> DataFrame:
     """lang, source and a map from rate to its (low, high)."""
-    pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in RATES]), F.array(*rates().values()))).alias("rate", "value")
+    measured = {**rates(), **{k: F.col(k).cast("double") for k in SIZES}}
+    pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in measured]), F.array(*measured.values()))).alias("rate", "value")
     by_source = settle(sketch(counts.where(~base_failed()).select("lang", "source", pairs), ["lang", "source", "rate"], "value"), "sketches")
-    quartiles = {"q1": 0.25, "q3": 0.75}
-    named = lambda df, p: df.select(*[c for c in ("lang", "source", "rate") if c in df.columns], *[F.col(c).alias(f"{p}{c}") for c in (*quartiles, "_n")])
-    own = named(quantiles(by_source, ["lang", "source", "rate"], quartiles), "s_")
-    language = named(quantiles(merge(by_source, ["lang", "rate"]), ["lang", "rate"], quartiles), "l_")
-    whole = named(quantiles(merge(by_source, ["rate"]), ["rate"], quartiles), "w_")
+    marks = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    named = lambda df, p: df.select(*[c for c in ("lang", "source", "rate") if c in df.columns], *[F.col(c).alias(f"{p}{c}") for c in (*marks, "_n")])
+    own = named(quantiles(by_source, ["lang", "source", "rate"], marks), "s_")
+    language = named(quantiles(merge(by_source, ["lang", "rate"]), ["lang", "rate"], marks), "l_")
+    whole = named(quantiles(merge(by_source, ["rate"]), ["rate"], marks), "w_")
     joined = own.join(language, ["lang", "rate"]).join(F.broadcast(whole), "rate")  # one row a rate
-    pick = lambda c: F.when(F.col("s__n") >= least_group, F.col(f"s_{c}")).when(F.col("l__n") >= least_group, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    q1, q3 = (pick(c) for c in quartiles)
-    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (least, both) in RATES.items():
-        reach = F.greatest(FENCE * (q3 - q1), F.lit(least))
-        high = F.when(F.col("rate") == name, q3 + reach).otherwise(high)
-        if both:
-            low = F.when(F.col("rate") == name, q1 - reach).otherwise(low)
-    fences = joined.select("lang", "source", "rate", low.alias("low"), high.alias("high"))
-    return fences.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", F.struct("low", "high")))).alias("fences"))
+    drawn = lambda n, q, towards: (F.col(n) * q + PRIOR * towards) / (F.col(n) + PRIOR)
+    for c in marks:
+        joined = joined.withColumn(c, drawn("s__n", F.col(f"s_{c}"), drawn("l__n", F.col(f"l_{c}"), F.col(f"w_{c}"))))
+    values = F.map_from_entries(F.collect_list(F.struct("rate", F.struct(*marks))))  # seven entries a group
+    group = joined.groupBy("lang", "source").agg(values.alias("_q"))
+    fences = []
+    for name, guard in RATES.items():
+        q1, q3 = F.col("_q")[name]["q1"], F.col("_q")[name]["q3"]
+        least = F.lit(guard[0]) / F.greatest(F.col("_q")[guard[1]]["q2"], F.lit(1.0)) if guard else 2 * (GAMMA - 1) * q3
+        reach = F.greatest(FENCE * (q3 - q1), least)
+        low = q1 - reach if guard is None else F.lit(None).cast("double")
+        fences += [F.lit(name), F.struct(low.alias("low"), (q3 + reach).alias("high"))]
+    return group.select("lang", "source", F.create_map(*fences).alias("fences"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
 
 
-def apply_rules(documents: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def apply_rules(documents: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """Every row's counts, ``base_failed`` and ``kept``."""
     counts = settle(count_table(documents), "text-counts")
+    fences = settle(thresholds(counts), "fences")
     inside = F.lit(True)
     for name, value in rates().items():
         fence = F.col("fences")[name]
         inside &= F.coalesce(value <= fence["high"], F.lit(True)) & F.coalesce(value >= fence["low"], F.lit(True))
-    judged = counts.join(thresholds(counts, least_group), ["lang", "source"], "left")
+    if fences.count() <= broadcast:
+        judged = counts.join(F.broadcast(fences), ["lang", "source"], "left")
+    else:  # a group's texts meet copies of its one row in SALT parts
+        salted = counts.withColumn("_salt", (F.xxhash64("doc_id", *_COUNTS) % SALT).cast("int"))
+        copies = fences.withColumn("_salt", F.explode(F.sequence(F.lit(1 - SALT), F.lit(SALT - 1))))
+        judged = salted.join(copies, ["lang", "source", "_salt"], "left")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
 
 

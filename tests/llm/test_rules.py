@@ -67,3 +67,13 @@ def test_each_rate_rejects_by_itself(spark):
     assert all(got[i].kept for i in range(300))
     assert not any(got[i].base_failed for i, *_ in odd)
     assert {name: got[1000 + k].kept for k, name in enumerate(stray)} == dict.fromkeys(stray, False)
+
+
+def test_fences_follow_each_group_and_any_join_gives_the_same(spark):
+    rows = [(i, " ".join(f"w{i}x{j}{'y' * (i % 3)}" for j in range(20 + 40 * (i % 4) + i % 7)), "en", f"s{i % 4}") for i in range(400)] + [(900, None, None, None), (900, None, None, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fences = rules.thresholds(rules.count_table(documents)).collect()
+    assert len({r.fences[name]["high"] for r in fences for name in ("repeat_rate",)}) == 4
+    assert len({r.fences["mean_word"]["low"] for r in fences}) > 1
+    few, many = (sorted(map(str, rules.apply_rules(documents, most).select("doc_id", "n_words", "kept").collect())) for most in (rules.BROADCAST, 0))
+    assert few == many and len(few) == 402
