@@ -1,16 +1,23 @@
 """Language-model scores by Brown classes.
 
-Every word belongs to an *item*: one of the most frequent words, or else a bucket of words with
-the same ending; the end of a text is an item of its own.  Exchange clustering moves items between
-classes while the class bigrams' likelihood grows.  A text's probability is the product of
-class-transition and word-emission probabilities,
+Exchange clustering gives every word of the training texts a class, in two steps.  The driver
+clusters *items*: the most frequent words, each by itself, and buckets of all others by their
+endings.  It moves items between classes while the class bigrams' likelihood grows.  Then one
+exchange sweep over all words with ``LEAST`` occurrences or more runs on the executors: a word's
+counts before and after each class are brought together, and it leaves its item's class for the
+one in which the likelihood is greatest, by the same gain.  (Each task updates its own copy of the
+class bigrams as it moves words.)  Rarer words, too few to tell, keep the class of their ending.
+The number of classes grows with the number of training tokens (their fourth root), so the table of
+class bigrams grows with its square root.  A text's probability is the product of class-transition
+and word-emission probabilities,
 
     P(w | v) = (T[v', w'] + a P[w']) / (T[v'] + a)  *  (n[w] + d) / (N[w'] + d (V[w'] + 1)),
 
 where ``v'`` and ``w'`` are classes and a text starts after an end.  Word counts, class sizes and
-transitions cover all training texts.  Counts of words stay a distributed table: the workers are
-sent only the head of it, whose number of words is bounded, and the tokens beyond the head meet
-their counts in a join.
+transitions cover all training texts.  Words and their classes stay a distributed table: the workers
+are sent only the head of it, whose number of words is bounded, and a text meets the counts and
+classes of its other words in a join by the text's hash (texts that share one share a dictionary,
+which is right for either).
 
 Defined results: a null or empty text has the one end token; repeated rows are scored each; with
 no training text every probability is 1, base and score alike; a null id counts as the empty
@@ -36,7 +43,8 @@ from .common import fold, settle, slices, text_or_empty, utf8
 HEAD = 150_000
 #: Items: words of their own, and buckets of endings for all other words.
 OWN_ITEMS, ENDINGS = 1200, 300
-CLASSES = 64
+#: Words of fewer occurrences have the class of their ending.
+LEAST = 4
 _FLUSH = 250_000
 _STEPS = 64  # steps of the count scale a power of two, to find the head's smallest count
 
@@ -143,10 +151,56 @@ def item_bigrams(documents: DataFrame, head: Head) -> np.ndarray:
     return out.reshape(ITEMS, ITEMS)
 
 
+def classes_for(tokens: int) -> int:
+    """Classes for so many training tokens, the end's own included."""
+    return max(8, math.ceil(max(tokens, 1) ** 0.25))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+class ClassBigrams:
+    """Counts of class bigrams, from which a word is taken out of one class and put into the best.
+
+    The last class is the end's; no word joins it.
+    """
+
+    def __init__(self, g: np.ndarray) -> None:
+        self.g = g.astype(np.float64)
+        self.f = _xlogx(self.g)
+        self.out, self.into = self.g.sum(axis=1), self.g.sum(axis=0)
+
+    def _shift(self, c: int, r: np.ndarray, l: np.ndarray, s: float, sign: int) -> None:
+        g, f = self.g, self.f
+        g[c, :] += sign * r
+        g[:, c] += sign * l
+        g[c, c] += sign * s
+        np.maximum(g[c, :], 0, out=g[c, :])  # a task's copy lags behind the others' moves
+        np.maximum(g[:, c], 0, out=g[:, c])
+        f[c, :], f[:, c] = _xlogx(g[c, :]), _xlogx(g[:, c])
+        self.out, self.into = g.sum(axis=1), g.sum(axis=0)
+
+    def move(self, c: int, r: np.ndarray, l: np.ndarray, s: float = 0.0) -> int:
+        """The new class of a word of class ``c`` with counts ``r`` before and ``l`` after each class, ``s`` beside itself."""
+        self._shift(c, r, l, s, -1)
+        g, f = self.g, self.f
+        after, before = np.flatnonzero(r), np.flatnonzero(l)
+        row = _xlogx(g[:, after] + r[after]) - f[:, after]
+        column = _xlogx(g[before, :] + l[before, None]) - f[before, :]
+        gain = row.sum(axis=1) + column.sum(axis=0)
+        gain[after] -= row[after, np.arange(len(after))]
+        gain[before] -= column[np.arange(len(before)), before]
+        diagonal = np.diag(g)
+        gain += _xlogx(diagonal + r + l + s) - np.diag(f)
+        gain -= _xlogx(self.out + r.sum() + s) - _xlogx(self.out) + _xlogx(self.into + l.sum() + s) - _xlogx(self.into)
+        b = int(np.argmax(gain[:-1]))
+        if gain[b] <= gain[c] + 1e-9:
+            b = c
+        self._shift(b, r, l, s, 1)
+        return b
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """Class of each item.  The last item (the end) keeps the last class to itself.
 
@@ -157,39 +211,23 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     m = bigrams.astype(np.float64)
     weight = m.sum(axis=0) + m.sum(axis=1)
     order = np.argsort(-weight[:-1], kind="stable")
-    free = classes - 1
     of = np.zeros(n, np.int64)
-    of[order] = np.arange(n - 1) % free
-    of[-1] = free
+    of[order] = np.arange(n - 1) % (classes - 1)
+    of[-1] = classes - 1
     member = np.zeros((n, classes))
     member[np.arange(n), of] = 1
     right, left = m @ member, m.T @ member  # by item: counts to and from each class
-    g = member.T @ right
+    state = ClassBigrams(member.T @ right)
     own = np.diag(m)
     for _ in range(sweeps):
         moved = 0
         for w in order:
             if not weight[w]:
                 continue
-            a, r, l, s = of[w], right[w].copy(), left[w].copy(), own[w]
-            r[a] -= s
-            l[a] -= s
-            g[a, :] -= r
-            g[:, a] -= l
-            g[a, a] -= s
-            f = _xlogx(g)
-            row, col = _xlogx(g + r) - f, _xlogx(g + l[:, None]) - f
-            diagonal = np.diag(g)
-            gain = row.sum(axis=1) - np.diag(row) + col.sum(axis=0) - np.diag(col)
-            gain += _xlogx(diagonal + r + l + s) - np.diag(f)
-            out, into = g.sum(axis=1), g.sum(axis=0)
-            gain -= _xlogx(out + r.sum() + s) - _xlogx(out) + _xlogx(into + l.sum() + s) - _xlogx(into)
-            b = int(np.argmax(gain[:free]))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            g[b, :] += r
-            g[:, b] += l
-            g[b, b] += s
+            a, r, l = of[w], right[w].copy(), left[w].copy()
+            r[a] -= own[w]
+            l[a] -= own[w]
+            b = state.move(int(a), r, l, own[w])
             if b != a:
                 of[w] = b
                 moved += 1
@@ -202,10 +240,187 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
+# --- all words ---------------------------------------------------------------------------------------
+
+
 @dataclass
-class BrownModel:
+class Classes:
+    """What the workers are sent: the head's words with counts and classes, and the endings' classes."""
+
     head: Head
-    class_of_item: np.ndarray
+    of_head: np.ndarray
+    of_ending: np.ndarray
+    number: int
+
+    def places(self, text: bytes, index: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words of a text, their places in the head (-1: beyond it) and classes (beyond it: their endings')."""
+        words = text.lower().split()
+        at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+        of = self.of_head[at] if len(self.of_head) else np.zeros(len(at), np.int64)
+        beyond = np.flatnonzero(at < 0)
+        if len(beyond):
+            of = of.copy()
+            of[beyond] = self.of_ending[[_ending(words[i]) - OWN_ITEMS for i in beyond.tolist()]]
+        return words, at, of
+
+    def sequence(self, of: np.ndarray) -> np.ndarray:
+        end = [self.number - 1]
+        return np.concatenate([end, of, end])
+
+
+def sweep_head(training: DataFrame, classes: Classes, g: np.ndarray) -> np.ndarray:
+    """New classes of the head's words, by their contexts in all training texts."""
+    spark, k = training.sparkSession, classes.number
+    often = int((classes.head.counts >= LEAST).sum())
+    if not often:
+        return classes.of_head
+    shared = spark.sparkContext.broadcast((classes, g))
+    width = 2 * k + 1  # counts before and after each class, and beside itself
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, _ = shared.value
+        index = classes.head.index()
+        held: list[np.ndarray] = []
+
+        def table() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code // width), pa.array((code % width).astype(np.int32)), pa.array(n)], ["word", "slot", "n"])
+
+        for batch in slices(batches):
+            for text in utf8(batch.column(0)):
+                _, at, of = classes.places(text, index)
+                seq = classes.sequence(of)
+                after, before = seq[2:], k + seq[:-2]
+                twin = at[1:] == at[:-1]
+                known = (at >= 0) & (at < often)
+                again, once = np.append(twin, False), np.append(False, twin)
+                held.append(at[known & ~again] * width + after[known & ~again])
+                held.append(at[known & ~once] * width + before[known & ~once])
+                held.append(at[known & again] * width + 2 * k)
+            if sum(map(len, held)) > 4_000_000:
+                yield table()
+                held = []
+        if held:
+            yield table()
+
+    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, g = shared.value
+        state, last, vector, words, found = ClassBigrams(g), None, np.zeros(width), [], []
+
+        def done() -> None:
+            words.append(last)
+            found.append(state.move(int(classes.of_head[last]), vector[:k].copy(), vector[k : 2 * k].copy(), vector[2 * k]))
+
+        for batch in batches:
+            word, slot, n = (batch.column(i).to_numpy() for i in range(3))
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
+                if word[a] != last:
+                    if last is not None:
+                        done()
+                    last, vector = int(word[a]), np.zeros(width)
+                np.add.at(vector, slot[a:b], n[a:b])
+        if last is not None:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(found, pa.int64())], ["word", "class"])
+
+    parts = training.select(text_or_empty().alias("text")).mapInArrow(contexts, "word long, slot int, n long")
+    # Words of one task in descending order of count, as an exchange sweep visits them.
+    rows = parts.repartition("word").sortWithinPartitions("word").mapInArrow(moves, "word long, class long").toArrow()
+    out = classes.of_head.copy()
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def tail_words(documents: DataFrame, held_out: Column, classes: Classes, g: np.ndarray) -> DataFrame:
+    """(key, token, n, class): for every text its words beyond the head, with count and class in training.
+
+    ``key`` is the text's hash.  Words that training doesn't have are left out; class -1 is the ending's.
+    Rows without a key are numbers of distinct words by class, a task's each.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((classes, g))
+    k = classes.number
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, _ = shared.value
+        index = classes.head.index()
+        for batch in slices(batches):
+            tokens, held, keys, slots, sizes = [], [], [], [], []
+            for text, key, out in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words, at, of = classes.places(text, index)
+                seq = classes.sequence(of).tolist()
+                seen: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    mine = seen.setdefault(words[i], [])
+                    if not out:
+                        mine += (seq[i + 2], k + seq[i])
+                tokens += seen
+                held += [out] * len(seen)
+                keys += [key] * len(seen)
+                for mine in seen.values():
+                    slots += mine
+                    sizes.append(len(mine))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+            listed = pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed], ["token", "held", "key", "slots"])
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by token, training before held out: nothing is held but one token's training rows."""
+        classes, g = shared.value
+        state = ClassBigrams(g)
+        last, keys, slots, n, of = None, [], [], 0, None
+        out: list[tuple] = []
+        kinds = np.zeros(k, np.int64)
+
+        def decide() -> int:
+            if n < LEAST:
+                return -1
+            vector = np.bincount(np.array(slots), minlength=2 * k).astype(np.float64)
+            return state.move(int(classes.of_ending[_ending(last) - OWN_ITEMS]), vector[:k], vector[k:])
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "token", "n", "class"])
+
+        def close() -> None:
+            nonlocal of
+            if last is not None and of is None and n:
+                of = decide()
+                kinds[of if of >= 0 else classes.of_ending[_ending(last) - OWN_ITEMS]] += 1
+                out.extend((x, last, n, of) for x in keys)
+
+        for batch in batches:
+            for token, held, key, mine in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if token != last:
+                    close()
+                    last, keys, slots, n, of = token, [], [], 0, None
+                if not held:
+                    keys.append(key)
+                    slots += mine
+                    n += len(mine) // 2
+                elif n:
+                    close()
+                    out.append((key, last, n, of))
+            if len(out) > 50_000:
+                yield table()
+                out = []
+        close()
+        out += [(None, None, int(x), c) for c, x in enumerate(kinds) if x]
+        yield table()
+
+    text = text_or_empty()
+    source = documents.select(text.alias("text"), F.xxhash64(text).alias("key"), held_out.alias("held"))
+    parts = source.mapInArrow(contexts, "token binary, held boolean, key long, slots array<int>")
+    return parts.repartition("token").sortWithinPartitions("token", "held").mapInArrow(assigned, "key long, token binary, n long, class int")
+
+
+@dataclass
+class BrownModel:
+    """A fitted model; the words beyond the head are rows of ``tail``."""
+
+    classes: Classes
+    tail: DataFrame
     transition: np.ndarray  # log10 P(class | class before)
     below: np.ndarray  # log10 of the emission's denominator, by class
     tokens: int
@@ -213,121 +428,115 @@ class BrownModel:
     texts: int
     delta: float
 
-    @property
-    def base_below(self) -> float:
-        return math.log10(self.tokens + self.words + 1)
 
+def classes_of(raw: bytes, number: int) -> np.ndarray:
+    """A text's classes with the end before its first and after its last."""
+    return np.concatenate([[number - 1], np.frombuffer(raw, "<i4"), [number - 1]]).astype(np.int64)
 
-def fit_brown(training: DataFrame, *, classes: int = CLASSES, sweeps: int = 8, alpha: float = 5.0, delta: float = 0.5) -> tuple[BrownModel, DataFrame, Column]:
-    """The model, the table of word counts, and the condition for its rows in the head."""
-    counts = settle(word_counts(training), "word-counts")
-    head, inside = head_of(counts)
-    bigrams = item_bigrams(training, head)
-    own = dict.fromkeys(head.words[:OWN_ITEMS])
-    shared = training.sparkSession.sparkContext.broadcast(own)
 
-    def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        seen: Counter = Counter()
-        for batch in batches:
-            seen.update(_ending(w) for w in batch.column(0).to_pylist() if w not in own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["item", "k"])
-
-    distinct = np.zeros(ITEMS, np.int64)
-    distinct[: len(own)] = 1
-    for r in counts.select("token").mapInArrow(endings, "item long, k long").groupBy("item").agg(F.sum("k").alias("k")).collect():
-        distinct[r["item"]] = r["k"]
-    texts = int(bigrams[:, END_ITEM].sum())
-    of = exchange(bigrams, classes, sweeps)
-    member = np.zeros((ITEMS, classes))
-    member[np.arange(ITEMS), of] = 1
-    t = member.T @ bigrams @ member
-    size = t.sum(axis=0)
-    share = (size + 1) / (size.sum() + classes)
-    transition = np.log10((t + alpha * share) / (t.sum(axis=1, keepdims=True) + alpha))
-    below = np.log10(np.maximum(size + delta * (member.T @ distinct + 1), 1e-300))
-    model = BrownModel(head, of, transition, below, int(size.sum()), int(distinct.sum()) + (texts > 0), texts, delta)
-    return model, counts, inside
+def _total(table: DataFrame, column: str, size: int) -> np.ndarray:
+    """Column ``n`` summed by a small whole-number column."""
+    out = np.zeros(size, np.int64)
+    for r in table.groupBy(column).agg(F.sum("n").alias("n")).collect():
+        out[r[column]] = r["n"]
+    return out
+
 
+def fit_and_score(
+    documents: DataFrame, held_out: Column, keep: list[Column], *, most_head: int = HEAD, sweeps: int = 8, alpha: float = 5.0, delta: float = 0.5
+) -> tuple[DataFrame, BrownModel]:
+    """``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score, score and perplexity; and the model.
 
-def score_texts(documents: DataFrame, model: BrownModel, counts: DataFrame, inside: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+    The model learns from the rows where ``held_out`` is false.
+    """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    training = documents.where(~held_out)
+    counts = settle(word_counts(training), "word-counts")
+    head, _ = head_of(counts, most_head)
+    bigrams = item_bigrams(training, head)
+    texts, tokens = int(bigrams[:, END_ITEM].sum()), int(bigrams.sum())
+    words = counts.count() + (texts > 0)
+    k = classes_for(tokens)
+    of = exchange(bigrams, k, sweeps)
+    member = np.zeros((ITEMS, k))
+    member[np.arange(ITEMS), of] = 1
+    g = member.T @ bigrams @ member
+    first = Classes(head, of[head.items()].astype(np.int64), of[OWN_ITEMS:END_ITEM], k)
+    tail = settle(tail_words(documents, held_out, first, g), "lm-tail")
+    classes = Classes(head, sweep_head(training, first, g), first.of_ending, k)
+
+    # Every text's classes, and what of its score doesn't depend on transitions.
+    shared = spark.sparkContext.broadcast(classes)
+    base_below = math.log10(tokens + words + 1)
     names = [f"_k{i}" for i in range(len(keep))]
-    source = documents.select(text_or_empty().alias("_text"), *[c.alias(n) for c, n in zip(keep, names)]).withColumn("_row", F.monotonically_increasing_id())
+    text = text_or_empty()
+    source = documents.select(F.xxhash64(text).alias("_key"), text.alias("_text"), held_out.alias("_held"), *[c.alias(n) for c, n in zip(keep, names)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index, item = model.head.index(), model.head.items()
-        base = np.log10(model.head.counts + 1.0) if model.tokens else np.empty(0)
-        own = np.log10(model.head.counts + model.delta) if model.tokens else np.empty(0)
-        end = END_ITEM
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
+        index, counts = classes.head.index(), classes.head.counts
         for batch in slices(batches):
-            n = batch.num_rows
-            stats = np.zeros((n, 2))
-            tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            rows, words_out, times = [], [], []
-            row_ids = batch.column(n_columns - 1).to_pylist()
-            for i, text in enumerate(utf8(batch.column(0))):
-                words, at, items = _items_of(text, index, item)
-                tokens[i] = len(words) + 1
-                if not model.tokens:
-                    continue
-                of = model.class_of_item[np.concatenate([[end], items, [end]])]
-                inner = of[1:-1]
-                inside = at[at >= 0]
-                known[i] = len(inside) + (model.texts > 0)
-                stats[i, 0] = base[inside].sum() + math.log10(model.texts + 1) - tokens[i] * model.base_below
-                # The end is alone in its class: its emission is certain.
-                stats[i, 1] = model.transition[of[:-1], of[1:]].sum() + own[inside].sum() - model.below[inner].sum()
+            n_tokens, n_known, base, own, rows, counted = [], [], [], [], [], []
+            for text, found in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
+                words, at, of = classes.places(text, index)
+                known = {x["token"]: (x["n"], x["class"]) for x in found or ()}
+                n = counts[at] if len(counts) else np.zeros(len(at), np.int64)
                 beyond = np.flatnonzero(at < 0).tolist()
                 if beyond:
-                    for w, k in Counter(words[j] for j in beyond).items():
-                        rows.append(row_ids[i])
-                        words_out.append(w)
-                        times.append(k)
-            empty = len(rows)
-            columns = [*(_padded(batch.column(c), empty) for c in range(1, n_columns - 1))]
-            columns += [
-                pa.concat_arrays([batch.column(n_columns - 1).cast(pa.int64()), pa.array(rows, pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(words_out, pa.binary())]),
-                pa.array(np.concatenate([tokens, np.array(times, np.int64)])),
-                pa.array(np.concatenate([known, np.zeros(empty, np.int64)])),
-                pa.array(np.concatenate([stats[:, 0], np.zeros(empty)])),
-                pa.array(np.concatenate([stats[:, 1], np.zeros(empty)])),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_row", "token", "k", "known", "base", "own"])
-
-    n_columns = len(source.columns)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", _row long, token binary, k long, known long, base double, own double"
-    parts = settle(source.mapInArrow(run, schema), "lm-parts")
-    beyond = parts.where("token IS NOT NULL").select("_row", "token", "k")
-    met = beyond.join(counts.where(~inside), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    added = met.groupBy("_row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("_known"),
-        F.sum(F.col("k") * F.log10(F.col("n") + F.lit(1.0))).alias("_base"),
-        F.sum(F.col("k") * F.log10(F.col("n") + F.lit(model.delta))).alias("_own"),
-    )
-    whole = parts.where("token IS NULL").join(added, "_row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.select(
-        *[F.col(n) for n in names],
-        F.col("k").alias("n_tokens"),
-        plus("known", "_known").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        plus("base", "_base").alias("base_score"),
-        plus("own", "_own").alias("score"),
-    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
-
-
-def _padded(array: pa.Array, more: int) -> pa.Array:
-    return pa.concat_arrays([array, pa.nulls(more, array.type)]) if more else array
+                    of, n = of.copy(), n.copy()
+                    for i in beyond:
+                        n[i], c = known.get(words[i], (0, -1))
+                        if c >= 0:
+                            of[i] = c
+                n_tokens.append(len(words) + 1)
+                n_known.append(int((n > 0).sum()) + (texts > 0) if tokens else 0)
+                base.append(float(np.log10(n + 1.0).sum()) + math.log10(texts + 1) - n_tokens[-1] * base_below if tokens else 0.0)
+                own.append(float(np.log10(n + delta).sum()) if tokens else 0.0)
+                rows.append(of.astype("<i4").tobytes())
+            columns = [*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(rows, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(columns, ["_held", *names, "_of", "n_tokens", "n_known", "base_score", "_own"])
+
+    info = tail.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("token", "n", "class")).alias("_tail"))
+    joined = source.join(info, F.col("_key") == F.col("key"), "left").select("_text", "_tail", "_held", *names)
+    schema = "_held boolean, " + "".join(f"{n} {kinds[n]}, " for n in names) + "_of binary, n_tokens long, n_known long, base_score double, _own double"
+    parts = settle(joined.mapInArrow(resolved, schema), "lm-classes")
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in slices(batches):
+            for raw in batch.column(0).to_pylist():
+                seq = classes_of(raw, k)
+                seen += np.bincount(seq[:-1] * k + seq[1:], minlength=k * k)
+        code = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(seen[code])], ["code", "n"])
+
+    t = _total(parts.where("NOT _held").select("_of").mapInArrow(transitions, "code long, n long"), "code", k * k).reshape(k, k)
+    distinct = np.bincount(classes.of_head, minlength=k)
+    distinct = distinct + _total(tail.where("key IS NULL"), "class", k)
+    size = t.sum(axis=0)
+    share = (size + 1) / (size.sum() + k)
+    transition = np.log10((t + alpha * share) / (t.sum(axis=1, keepdims=True) + alpha))
+    below = np.log10(np.maximum(size + delta * (distinct + 1), 1e-300))
+    # The end is alone in its class: its emission is certain.
+    shares = spark.sparkContext.broadcast((transition, below))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, below = shares.value
+        for batch in slices(batches):
+            out = []
+            for raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seq = classes_of(raw, k)
+                out.append(float(transition[seq[:-1], seq[1:]].sum() + own - below[seq[1:-1]].sum()) if tokens else 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(out)], [*names, "n_tokens", "n_known", "base_score", "score"])
+
+    schema = "".join(f"{n} {kinds[n]}, " for n in names) + "n_tokens long, n_known long, base_score double, score double"
+    done = parts.select("_of", "_own", *names, "n_tokens", "n_known", "base_score").mapInArrow(scored, schema)
+    scores = done.select(*names, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return scores, BrownModel(classes, tail, transition, below, tokens, words, texts, delta)
 
 
 def op8(documents: DataFrame) -> DataFrame:
     held = fold("doc_id", 7) == 2
-    model, counts, inside = fit_brown(documents.where(~held))
-    scored = score_texts(documents, model, counts, inside, [F.col("doc_id"), held])
-    return scored.withColumnsRenamed({"_k0": "doc_id", "_k1": "held_out"})
+    scores, _ = fit_and_score(documents, held, [F.col("doc_id"), held])
+    return scores.withColumnsRenamed({"_k0": "doc_id", "_k1": "held_out"})

@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import brown
 
@@ -64,15 +66,56 @@ def test_exchange_raises_likelihood():
             assert likelihood(other) <= likelihood(of) + 1e-6
 
 
-def test_model_is_a_distribution(spark):
-    texts = [(i, f"x{i % 7} y{i % 5} z") for i in range(60)]
-    model, counts, _ = brown.fit_brown(spark.createDataFrame(texts, "doc_id long, text string"), classes=6)
-    assert np.allclose((10.0 ** model.transition).sum(axis=1), 1)
-    emitted = np.zeros(6)
-    for r in counts.collect():
-        at = model.head.words.index(bytes(r.token))
-        c = model.class_of_item[model.head.items()[at]]
-        emitted[c] += (r.n + model.delta) / 10 ** model.below[c]
-    unseen = model.delta / 10**model.below
-    some = emitted > 0
-    assert np.allclose((emitted + unseen)[some], 1)
+def fitted(spark, texts, **options):
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    scores, model = brown.fit_and_score(df, F.coalesce(F.col("doc_id") % 5 == 0, F.lit(True)), [F.col("doc_id")], **options)
+    of = {w: int(c) for w, c in zip(model.classes.head.words, model.classes.of_head)}
+    for r in model.tail.where("key IS NOT NULL").collect():
+        of[bytes(r.token)] = r["class"] if r["class"] >= 0 else int(model.classes.of_ending[brown._ending(bytes(r.token)) - brown.OWN_ITEMS])
+    return scores.collect(), model, of
+
+
+@pytest.mark.parametrize("most_head", [1000, 15, 0])
+def test_score_by_the_formula(spark, most_head):
+    """The whole score from the classes alone, counted plainly, with words beyond the head and unseen ones."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}{'abc'[i % 3]}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice(words, size=rng.integers(0, 30), p=np.arange(60, 0, -1) / 1830)) + " unseen" * (i == 5)) for i in range(150)] + [(7, "w1b w2c"), (7, "w1b w2c"), (None, None)]
+    got, model, of = fitted(spark, texts, most_head=most_head)
+    k, alpha, delta = model.classes.number, 5.0, 0.5
+    assert len(model.classes.head.words) <= most_head and len(got) == len(texts)
+    training = [t.encode().split() for i, t in texts[:-1] if i % 5]
+    n = Counter(w for t in training for w in t)
+    assert set(of) == set(n)
+    steps, size = Counter(), Counter()
+    of_word = lambda w: of[w] if w in of else int(model.classes.of_ending[brown._ending(w) - brown.OWN_ITEMS])
+    for t in training:
+        seq = [k - 1, *map(of_word, t), k - 1]
+        steps.update(zip(seq, seq[1:]))
+        size.update(seq[1:])
+    out, kinds = Counter(), Counter(of.values())
+    for (a, _), x in steps.items():
+        out[a] += x
+    share = lambda c: (size[c] + 1) / (sum(size.values()) + k)
+    want = {}
+    for i, t in texts[:-1]:
+        ws = t.encode().split()
+        seq = [k - 1, *map(of_word, ws), k - 1]
+        s = sum(math.log10((steps[a, b] + alpha * share(b)) / (out[a] + alpha)) for a, b in zip(seq, seq[1:]))
+        want[i, t] = s + sum(math.log10((n[w] + delta) / (size[of_word(w)] + delta * (kinds[of_word(w)] + 1))) for w in ws)
+    assert sorted(round(r.score, 6) for r in got if r._k0 is not None) == pytest.approx(sorted(want[x] for x in texts[:-1]), abs=1e-5)
+    assert np.allclose((10.0**model.transition).sum(axis=1), 1)
+
+
+def test_every_word_finds_its_class_by_its_contexts(spark):
+    """Two kinds of words with the same endings, most beyond the head: contexts alone tell them apart."""
+    rng = np.random.default_rng(1)
+    a, b = [f"a{i}xyz" for i in range(60)], [f"b{i}xyz" for i in range(60)]
+    texts = [(i, " ".join(x for _ in range(40) for x in (rng.choice(a), rng.choice(b)))) for i in range(150)]
+    _, model, of = fitted(spark, texts, most_head=40)
+    of_a, of_b = (Counter(of[w.encode()] for w in ws) for ws in (a, b))
+    assert sum(min(of_a[c], of_b[c]) for c in of_a) <= 6
+
+
+def test_classes_grow_with_the_tokens():
+    assert [brown.classes_for(n) for n in (0, 10**4, 10**8, 2 * 10**13)] == [8, 10, 100, 2115]

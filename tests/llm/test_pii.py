@@ -102,3 +102,46 @@ def test_mask(spark, tmp_path):
     spark.createDataFrame([(1, "é a@b.co, 10.0.0.1!", "k"), (2, None, "k"), (3, "plain", None), (3, "plain", None)], "doc_id long, text string, kind string").write.parquet(f"{tmp_path}/t")
     out = mask_spans(spark.read.parquet(f"{tmp_path}/t")).collect()
     assert sorted(((r.doc_id, r.text, r["kind"]) for r in out), key=str) == sorted([(1, "é <EMAIL>, <IP>!", "k"), (2, None, "k"), (3, "plain", None), (3, "plain", None)], key=str)
+
+
+def test_secrets_and_what_stands_where_they_do(spark, tmp_path):
+    r = random.Random(3)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows = [f"{' ' * (i % 3)}word{i} api_token = \"{hexes(40)}\" more" for i in range(60)]
+    rows += [f"api_token  =\n\"{'AKIA' + hexes(16).upper()}9\"!! more" for _ in range(3)]  # no seed: upper case
+    rows += ["api_token = 12 more", f"digest {hexes(31)}", "x" * 300 + " api_token = Zz9" + "y" * 300]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = {x.doc_id: x.spans for x in op2(df).collect()}
+    masked = {x.doc_id: x.text for x in mask_spans(df).collect()}
+    for i in range(60):
+        at = rows[i].index('"') + 1
+        assert got[i] == f"secret:{at}:{at + 40}" and masked[i].endswith('api_token = "<SECRET>" more')
+    for i in range(60, 63):
+        at = rows[i].index("AKIA")
+        assert got[i] == f"secret:{at}:{at + 21}"
+    assert got[63] == got[64] == "" and got[65] == f"secret:{rows[65].index('Zz9')}:{len(rows[65])}"
+
+
+def test_a_token_of_two_kinds_seeds_both(spark, tmp_path):
+    """The same digits are a card and part of a phone number: neither kind hides the other."""
+    rows = [f"call +1 555 {100 + i} {2000 + i} now" for i in range(30)] + [f"pay 4539148803436467 with +4539148803436467{i} now" for i in range(10)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    check(op2(spark.read.parquet(f"{tmp_path}/t")), rows)
+    assert op2(spark.read.parquet(f"{tmp_path}/t")).count() == len(rows)
+
+
+def test_masking_survives_other_splits(spark, tmp_path):
+    """The second scan of the texts may be cut into other tasks than the first."""
+    rows = [(i % 50, f"text {i} of a{i}@b.co and 10.0.0.{i % 250}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = mask_spans(spark.read.parquet(f"{tmp_path}/t"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        got = sorted((r.doc_id, r.text) for r in out.select("*").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted((i % 50, f"text {i} of <EMAIL> and <IP>") for i in range(400))
