@@ -9,13 +9,14 @@ The words under the windows of a repeated anchor form a *stretch*; every window
 The stretches of an anchor are a reference shard: distinct stretches go into a suffix automaton
 with their numbers of occurrences, each distinct stretch is streamed through it, and where the
 longest suffix seen twice or more has ``WINDOW`` words, a window repeats.  The automaton compares
-words, not hashes, so the spans are exact.  Stretches of an anchor that are all equal need no
-automaton.  In a shard of many distinct stretches (a passage that very many documents quote, each
-in its own context) the parts that can't repeat, by counts of window hashes, are cut off before the
-automaton is built; its size follows the repeated words, not the quoting documents.
+words, not hashes, so the spans are exact.  A stretch's spans are joined back to the places where it
+occurs.
 
-An anchor of more than ``CROWD`` occurrences has no automaton, which would be one task's burden: its
-windows are counted one by one by their 128-bit digests, aggregated before the shuffle.
+A shard is one task's, so an anchor of more than ``CROWD`` occurrences is split by longer anchors:
+its distinct stretches are counted first, then every window is an anchor of its own, and each such
+shard's automaton holds the one sequence of words that the window is.  A passage that very many
+documents quote thereby spreads over as many shards as it has windows, and over the partial counts
+before them.
 
 Defined results: null and empty texts have no words and nothing removed; repeated rows repeat each
 other's windows; a null doc_id is a document like others; an empty table gives no rows.
@@ -23,25 +24,22 @@ other's windows; a null doc_id is a document like others; an empty table gives n
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_or_empty, utf8
 
 WINDOW, RUN = 35, 8
-#: Shards of more distinct stretches are trimmed before their automaton is built.
-TRIM = 48
-#: Anchors of more occurrences have their windows counted one by one.
-CROWD = 20_000
+#: Anchors of more occurrences are split by longer anchors: a shard has at most so many stretches.
+CROWD = 2_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_NO_ID = -(1 << 63)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -163,65 +161,58 @@ class Automaton:
 
 def _repeated_windows(bodies: dict[bytes, int]) -> dict[bytes, list[int]]:
     """For each distinct stretch of a shard the starts of its repeated windows."""
-    if len(bodies) == 1:
-        ((body, weight),) = bodies.items()
-        return {body: list(range(body.count(b" ") + 2 - WINDOW)) if weight > 1 else []}
     cut = {b: b.split(b" ") for b in bodies}
     automaton = Automaton()
-    if len(bodies) <= TRIM:
-        for b, weight in bodies.items():
-            automaton.add(cut[b], weight)
-        automaton.finish()
-        return {b: automaton.repeated(w, WINDOW) for b, w in cut.items()}
-    hashes = {b: _Sums(w).runs(WINDOW) for b, w in cut.items()}
-    seen: Counter = Counter()
-    for b, h in hashes.items():
-        for x in h.tolist():
-            seen[x] += bodies[b]
-    parts: Counter = Counter()
-    spans: dict[bytes, list[tuple[int, tuple[bytes, ...]]]] = {}
-    for b, h in hashes.items():
-        again = np.array([seen[x] > 1 for x in h.tolist()])
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-        spans[b] = [(int(s), tuple(cut[b][s : e - 1 + WINDOW])) for s, e in zip(edge[::2], edge[1::2])]
-        for _, part in spans[b]:
-            parts[part] += bodies[b]
-    for part, weight in parts.items():
-        automaton.add(list(part), weight)
+    for b, weight in bodies.items():
+        automaton.add(cut[b], weight)
     automaton.finish()
-    found = {part: automaton.repeated(list(part), WINDOW) for part in parts}
-    return {b: [s + i for s, part in spans[b] for i in found[part]] for b in bodies}
+    return {b: automaton.repeated(w, WINDOW) for b, w in cut.items()}
+
+
+def _runs(starts: list[int]) -> list[dict[str, int]]:
+    """Ascending starts of windows as (first, last) of consecutive ones."""
+    out: list[dict[str, int]] = []
+    for x in starts:
+        if out and out[-1]["last"] == x - 1:
+            out[-1]["last"] = x
+        else:
+            out.append({"first": x, "last": x})
+    return out
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, dk, h, first, body) sorted by fp to rows (dk, h, first, last): repeated windows of a document."""
-    fp, rows, weights = None, [], {}
-
-    def done() -> pa.RecordBatch:
-        found = _repeated_windows(weights)
-        edges: dict[bytes, list[tuple[int, int]]] = {}
-        for body, starts in found.items():
-            runs = []
-            for s in starts:
-                if runs and runs[-1][1] == s - 1:
-                    runs[-1][1] = s
-                else:
-                    runs.append([s, s])
-            edges[body] = runs
-        out = [(dk, h, at + a, at + b) for dk, h, at, body in rows for a, b in edges[body]]
-        columns = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["dk", "h", "first", "last"])
+    """Rows (anchor, body, n) sorted by anchor to (key, spans): repeated windows of each distinct stretch that has any."""
+    last, weights, out = None, Counter(), []
+
+    def done() -> None:
+        for body, starts in _repeated_windows(weights).items():
+            if starts:
+                out.append((_digest(body), _runs(starts)))
+
+    def table() -> pa.RecordBatch:
+        keys, spans = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _RUNS)], ["key", "spans"])
 
     for batch in batches:
-        for key, dk, h, at, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if key != fp:
-                if rows:
-                    yield done()
-                fp, rows, weights = key, [], {}
-            rows.append((dk, h, at, body))
-            weights[body] = weights.get(body, 0) + 1
-    if rows:
-        yield done()
+        for anchor, body, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if anchor != last:
+                if weights:
+                    done()
+                last, weights = anchor, Counter()
+            weights[body] += n
+        if len(out) > 5_000:
+            yield table()
+            out = []
+    if weights:
+        done()
+    yield table()
+
+
+def _digest(body: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(body)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,77 +229,104 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], ["fp", "dk", "h", "place"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(with_words: bool):  # noqa: ANN202
+    """Texts with their repeated anchors' places to stretches: with their words and numbers, or with where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            places, words_of = [], Counter()
+            for dk, h, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
+                words, hot = text.split(), {m["place"]: m["hot"] for m in marks}
+                for fp, place, first, n in zip(*(a.tolist() for a in anchors(_Sums(words)))):
+                    if place in hot:
+                        body = b" ".join(words[first : first + n - 1 + WINDOW])
+                        if with_words:
+                            words_of[fp, hot[place], body] += 1
+                        else:
+                            places.append((_digest(body), dk, h, first))
+            if with_words:
+                fps, hots, bodies = zip(*words_of) if words_of else ((), (), ())
+                columns = [(fps, pa.int64()), (hots, pa.bool_()), (bodies, pa.binary()), (list(words_of.values()), pa.int64())]
+                names = ["anchor", "hot", "body", "n"]
+            else:
+                columns = list(zip(list(zip(*places)) or [()] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64())))
+                names = ["at", "dk", "h", "place"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct stretches (body, n) to their windows: (stretch's digest, start, window's digest, window, n)."""
     for batch in slices(batches):
-        out: list[list] = [[], [], [], [], []]
-        for dk, h, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
-            words = text.split()
-            wanted = set(places)
-            for fp, place, first, n in zip(*(a.tolist() for a in anchors(_Sums(words)))):
-                if place in wanted:
-                    for column, value in zip(out, (fp, dk, h, first, b" ".join(words[first : first + n - 1 + WINDOW]))):
-                        column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["fp", "dk", "h", "first", "body"])
+        out = []
+        for body, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words, key = body.split(b" "), _digest(body)
+            windows = [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+            out += [(key, i, _digest(w), w, n) for i, w in enumerate(windows)]
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["of", "start", "window", "body", "n"])
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digest of every window of crowded anchors."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        keys, out = [], ([], [], [])
-        for dk, h, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
-            words, wanted = text.split(), set(places)
-            for place, first, n in zip(*(a.tolist() for a in anchors(_Sums(words))[1:])):
-                if place in wanted:
-                    for at in range(first, first + n):
-                        keys.append(hashlib.blake2b(b" ".join(words[at : at + WINDOW]), digest_size=16).digest())
-                        for column, value in zip(out, (dk, h, at)):
-                            column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in out)], ["key", "dk", "h", "first"])
+        spans = [_runs(sorted(x)) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _RUNS)], ["key", "spans"])
+
+
+def _split_anchors(stretches: DataFrame) -> DataFrame:
+    """(key, spans) of distinct stretches (body, n) of crowded anchors, every window by itself."""
+    schema = "of binary, start long, window binary, body binary, n long"
+    counted = stretches.mapInArrow(_windows, schema).groupBy("body").agg(F.sum("n").alias("n"))
+    # A window's own hash is its anchor: its shard's automaton has the one sequence.
+    again = counted.select(F.xxhash64("body").alias("anchor"), "body", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, _SPANS)
+    each = stretches.mapInArrow(_windows, schema).select("of", "start", "window")
+    starts = each.join(again.select("key"), F.col("window") == F.col("key")).groupBy("of").agg(F.collect_list("start").alias("starts"))
+    return starts.mapInArrow(_gather, _SPANS)
+
+
+_SPANS = "key binary, spans array<struct<first:long,last:long>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        ids, total, removed, kept = [], [], [], []
-        for dk, text, spans in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        total, removed, kept = [], [], []
+        for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
             words = text.split()
             gone = np.zeros(len(words) + 1, np.int64)
             for s in spans or ():
                 gone[s["first"]] += 1
                 gone[s["last"] + WINDOW] -= 1
             covered = np.cumsum(gone)[:-1] > 0
-            ids.append(None if dk == _NO_ID else dk)
             total.append(len(words))
             removed.append(int(covered.sum()))
             kept.append(b" ".join([w for w, c in zip(words, covered.tolist()) if not c] if removed[-1] else words))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"]
+            [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"]
         )
 
 
 def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): for every row its words that no repeated window covers, joined by spaces."""
     text = text_or_empty()
-    # The same columns in either join below, so that the texts are shuffled once and read twice.
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("dk"), F.xxhash64(text).alias("h"), text.alias("text"))
-    seen = settle(texts.mapInArrow(_occurrences, "fp long, dk long, h long, place long"), "anchors")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    # A row's key is a 128-bit hash of id and text; equal rows share it and everything else.  The same
+    # columns go into every join below, so that the texts are shuffled once and read thrice.
+    texts = documents.select(F.xxhash64("doc_id", text).alias("dk"), F.xxhash64(text, F.lit(1)).alias("h"), text.alias("text"), "doc_id")
+    seen = settle(texts.drop("doc_id").mapInArrow(_occurrences, "fp long, dk long, h long, place long"), "anchors")
     again = settle(seen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", (F.col("n") > crowd).alias("hot")), "again")
-    met = seen.join(again, "fp")
-
-    def at_places(hot: bool) -> DataFrame:
-        wanted = met.where("hot" if hot else "NOT hot").groupBy("dk", "h").agg(F.collect_set("place").alias("places"))
-        return texts.join(wanted.hint("shuffle_hash"), ["dk", "h"]).select("dk", "h", "text", "places")
-
-    bodies = at_places(False).mapInArrow(_stretches, "fp long, dk long, h long, first long, body binary")
-    windows = bodies.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards, "dk long, h long, first long, last long")
+    wanted = seen.join(again, "fp").groupBy("dk", "h").agg(F.collect_set(F.struct("place", "hot")).alias("marks"))
+    marked = texts.join(wanted, ["dk", "h"]).select("dk", "h", "text", "marks", "doc_id")
+    stretches = marked.mapInArrow(_stretches(True), "anchor long, hot boolean, body binary, n long")
+    spans = stretches.where("NOT hot").select("anchor", "body", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, _SPANS)
     if not again.where("hot").isEmpty():
-        # In the same query as the rest, so that the texts' one shuffle serves this branch too.
-        each = at_places(True).mapInArrow(_crowded, "key binary, dk long, h long, first long")
-        twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        windows = windows.unionByName(each.join(twice, "key").select("dk", "h", "first", F.col("first").alias("last")))
-    spans = windows.groupBy("dk", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    whole = texts.join(spans.hint("shuffle_hash"), ["dk", "h"], "left").select("dk", "text", "spans")
-    return whole.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+        spans = spans.unionByName(_split_anchors(stretches.where("hot").groupBy("body").agg(F.sum("n").alias("n"))))
+    places = marked.mapInArrow(_stretches(False), "at binary, dk long, h long, place long")
+    met = places.join(spans, F.col("at") == F.col("key")).select("dk", "h", "place", F.explode("spans").alias("s"))
+    found = met.groupBy("dk", "h").agg(F.collect_set(F.struct((F.col("place") + F.col("s.first")).alias("first"), (F.col("place") + F.col("s.last")).alias("last"))).alias("spans"))
+    whole = texts.join(found, ["dk", "h"], "left").select("doc_id", "text", "spans")
+    return whole.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def op7(documents: DataFrame) -> DataFrame:
