@@ -1,12 +1,13 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled text.  A text is cut
-into blocks (all of it, long texts too) and compressed with either; the normalised difference of
-the two sizes, with the size a byte, goes through a logistic curve fitted on labelled texts that
-the dictionaries did not see.
+zstandard dictionaries of several sizes are built from good and from bad labelled text.  A text is
+cut into short blocks (all of it, long texts too), so that a dictionary's help outweighs what a block
+tells about itself, and compressed with each.  The differences between the sizes with the bad and
+with the good dictionary, normalised by the larger of the two and by the text's bytes, go through a
+logistic curve fitted on labelled texts that the dictionaries did not see.
 
 Defined results: a null or empty text has no bytes to compare and takes the calibration's score at
-difference 0 and ratio 1; a null id counts as the empty string in the fold rule; repeated rows are
+difference 0; a null id counts as the empty string in the fold rule; repeated rows are
 scored each; with no labels, or labels of one kind only, every score is the share of label 1 (1.0
 when nothing is labelled); label rows whose document is missing are ignored.
 """
@@ -21,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, text_or_empty, utf8
+from .common import fold, settle, slices, text_or_empty, utf8
 
 THRESHOLD = 0.3
 
@@ -33,8 +34,8 @@ THRESHOLD = 0.3
 class CompressionModel:
     """Dictionaries and calibration; a few hundred KB whatever the corpus size."""
 
-    good: bytes
-    bad: bytes
+    good: tuple[bytes, ...]
+    bad: tuple[bytes, ...]
     weights: tuple[float, ...]
     prior: float
     block: int
@@ -47,44 +48,36 @@ class CompressionModel:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ np.asarray(self.weights), -30, 30)))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=16)
 def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(
-        level=level,
-        dict_data=zstandard.ZstdCompressionDict(dictionary),
-        write_content_size=False,
-        write_checksum=False,
-        write_dict_id=False,
-    )
+    ready = zstandard.ZstdCompressionDict(dictionary)
+    ready.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=ready, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def _blocks(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def _sizes(texts: list[bytes], good: bytes, bad: bytes, block: int, level: int) -> np.ndarray:
-    """Rows of (bytes, compressed with the good, compressed with the bad dictionary)."""
-    g, b = _compressor(good, level).compress, _compressor(bad, level).compress
-    out = np.zeros((len(texts), 3))
+def _sizes(texts: list[bytes], good: tuple[bytes, ...], bad: tuple[bytes, ...], block: int, level: int) -> np.ndarray:
+    """Rows of bytes, then compressed bytes with each good and its bad dictionary."""
+    pairs = [[_compressor(d, level).compress for d in pair] for pair in zip(good, bad)]
+    out = np.zeros((len(texts), 1 + 2 * len(pairs)))
     for i, text in enumerate(texts):
         parts = _blocks(text, block)
-        out[i] = len(text), sum(len(g(p)) for p in parts), sum(len(b(p)) for p in parts)
+        out[i] = [len(text), *(sum([len(c(p)) for p in parts]) for pair in pairs for c in pair)]
     return out
 
 
 def _design(sizes: np.ndarray) -> np.ndarray:
-    n, g, b = sizes.T
-    some = n > 0
-    most = np.maximum(np.maximum(g, b), 1)
-    difference = np.where(some, (b - g) / most, 0.0)
-    ratio = np.where(some, g / np.maximum(n, 1), 1.0)
-    self_similar = np.maximum(0.0, 0.25 - np.minimum(g, b) / np.maximum(n, 1)) * some
-    long = np.log1p(n) / 10
-    return np.column_stack(
-        [np.ones_like(n), difference, np.minimum(difference, 0), np.minimum(difference, 0.02), ratio.clip(0, 1), self_similar, self_similar**2, difference * long]
-    )
-
-
+    """The normalised differences, bent at a few places so that the curve needn't be straight."""
+    n = np.maximum(sizes[:, 0], 1)
+    columns = [np.ones(len(sizes))]
+    for k in range(1, sizes.shape[1], 2):
+        g, b = sizes[:, k], sizes[:, k + 1]
+        relative, share = (b - g) / np.maximum(np.maximum(g, b), 1), (b - g) / n
+        columns += [relative, np.minimum(relative, 0), share, np.minimum(share, 0), np.minimum(share, 0.01)]
+    return np.column_stack(columns)
 
 
 def _dictionary(texts: list[bytes], size: int, block: int) -> bytes:
@@ -92,7 +85,7 @@ def _dictionary(texts: list[bytes], size: int, block: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the raw text itself serves as content
-        return b"".join(samples)[-size:]
+        return b"".join(samples)[-size:] or b" "
 
 
 def fit_compression_model(
@@ -105,17 +98,19 @@ def fit_compression_model(
     max_per_label: int = 3000,
     max_calibration: int = 4000,
     max_label_bytes: int = 32_000_000,
-    dictionary_bytes: int = 65_536,
-    block: int = 4096,
+    max_text_bytes: int = 500_000,
+    dictionary_bytes: tuple[int, ...] = (8_192, 65_536),
+    block: int = 512,
     level: int = 3,
 ) -> CompressionModel:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     ``max_per_label`` texts a label, first by the hash of their id, make the dictionaries;
-    the next ``max_calibration`` rows of either label, in the same order, calibrate.
-    ``max_label_bytes`` bounds the bytes of either label's texts on the driver; whole texts only
-    are taken.  The labels alone are sorted; the texts arrive by a broadcast of the chosen
-    ids, whose number these parameters bound.
+    the next ``max_calibration`` rows of either label, in the same order, calibrate.  Only whole
+    texts are taken: one of over ``max_text_bytes`` is passed over (it is scored like any other), and
+    so is one that would bring its label's over ``max_label_bytes``.  The labels alone are sorted; the
+    texts arrive by a broadcast of the chosen ids, whose number these parameters bound, and their
+    lengths decide before any text reaches the driver.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", fold_modulus) != held_out))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("_label"))
@@ -128,25 +123,31 @@ def fit_compression_model(
     for kind in (0, 1):
         part = usable.where(F.col("_label") == kind).orderBy(*order).limit(max_per_label + max_calibration)
         chosen = part if chosen is None else chosen.unionByName(part)
-    within = Window.partitionBy("_label").orderBy("_h", "doc_id")
     rows = (
         documents.select("doc_id", text_or_empty().alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "_label")  # repeated rows count once
         .agg(F.min("text").alias("text"))
         .withColumn("_h", order[0])
-        .withColumn("_sum", F.sum(F.octet_length("text")).over(within))
-        .where(F.col("_sum") <= max_label_bytes)
-        .select("_label", "_h", "doc_id", "text")
-        .collect()
+        .withColumn("_n", F.octet_length("text"))
     )
-    sets = {k: [r["text"].encode() for r in sorted(rows, key=lambda r: (r["_h"], str(r["doc_id"]))) if r["_label"] == k] for k in (0, 1)}
+    sample = settle(rows.where(F.col("_n") <= max_text_bytes), "labelled")
+    taken, held = [], {0: 0, 1: 0}
+    for r in sorted(sample.select("_label", "_h", "doc_id", "_n").collect(), key=lambda r: (r["_h"], str(r["doc_id"]))):
+        if held[r["_label"]] + r["_n"] <= max_label_bytes:
+            held[r["_label"]] += r["_n"]
+            taken.append((r["_label"], r["doc_id"]))
+    place = {x: i for i, x in enumerate(taken)}
+    sets: dict[int, list[bytes]] = {0: [], 1: []}
+    # All but the few that didn't fit are taken: they are left out as they arrive.
+    found = [(place[r["_label"], r["doc_id"]], r["_label"], r["text"].encode()) for r in sample.select("_label", "doc_id", "text").toLocalIterator() if (r["_label"], r["doc_id"]) in place]
+    for _, kind, text in sorted(found):
+        sets[kind].append(text)
     if not sets[0] or not sets[1]:
-        return CompressionModel(b"", b"", (), prior, block, level)
+        return CompressionModel((), (), (), prior, block, level)
     # A third of the rarer label at least goes to calibration.
     cut = {k: max(1, min(max_per_label, 2 * len(v) // 3)) for k, v in sets.items()}
-    good = _dictionary(sets[1][: cut[1]], dictionary_bytes, block // 2)
-    bad = _dictionary(sets[0][: cut[0]], dictionary_bytes, block // 2)
+    good, bad = (tuple(_dictionary(sets[kind][: cut[kind]], size, block) for size in dictionary_bytes) for kind in (1, 0))
     x, y, w = [], [], []
     for kind in (0, 1):
         rest = sets[kind][cut[kind] :][:max_calibration] or sets[kind]

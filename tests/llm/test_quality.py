@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+import zstandard
+
 from shardloom.llm.quality import THRESHOLD, fit_compression_model, keep_good, op1, score_quality
 
 
@@ -45,3 +48,33 @@ def test_without_labels(spark, documents):
     assert {r.score for r in op1(documents, none).collect()} == {1.0}
     one = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     assert {r.score for r in op1(documents, one).collect()} == {1.0}
+
+
+def test_scores_by_plain_compression(spark):
+    """Scores again from the dictionaries and weights, with compressors made afresh."""
+    docs, labels = labelled(spark, 200)
+    model = fit_compression_model(docs, labels)
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()} | {1000: b"", 1001: b"x" * 5000}
+    more = docs.unionByName(spark.createDataFrame([(1000, None), (1001, "x" * 5000)], docs.schema))
+
+    def size(text, dictionary):
+        c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(text[i : i + model.block])) for i in range(0, len(text), model.block))
+
+    for r in score_quality(more, model).collect():
+        text, x = texts[r.doc_id], [1.0]
+        for g, b in ((size(text, good), size(text, bad)) for good, bad in zip(model.good, model.bad)):
+            relative, share = (b - g) / max(g, b, 1), (b - g) / max(len(text), 1)
+            x += [relative, min(relative, 0), share, min(share, 0), min(share, 0.01)]
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))) < 1e-9
+
+
+def test_a_huge_labelled_text_is_passed_over(spark):
+    docs, labels = labelled(spark, 200)
+    huge = docs.unionByName(spark.createDataFrame([(i, "noise " * 3000) for i in range(5000, 5040)], docs.schema))
+    marked = labels.unionByName(spark.createDataFrame([(i, i % 2, 0) for i in range(5000, 5040)], labels.schema))
+    plain = fit_compression_model(docs, labels)
+    for limits in ({"max_text_bytes": 10_000}, {"max_text_bytes": 10_000, "max_label_bytes": 60_000}, {"max_label_bytes": 60_000}):
+        model = fit_compression_model(huge, marked, **limits)
+        assert model.weights and model.good and model.bad
+    assert fit_compression_model(huge, marked, max_text_bytes=10_000).good == plain.good
