@@ -15,8 +15,8 @@ apart with their length, so an item of more than ``SEGMENT`` words is embedded i
 at most as many: one of them has no more than its share of the edits.  A shared run's own offset
 places its segment in the document; a segment that agrees makes the whole item a candidate there.
 
-The items are broadcast in blocks whose bytes are bounded, and every block passes over all
-documents.
+The items are broadcast in blocks whose bytes are bounded, one block at a time: what a block finds
+is written before the next is sent.
 
 Defined results: null and empty texts and items match nothing; repeated rows and items are judged
 each; a null item id is reported as null; an empty benchmark leaves all documents clean.
@@ -32,8 +32,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, text_or_empty, utf8
+from .common import discard, settle, settled_so_far, slices, text_or_empty, utf8
 
 SHARE = 0.2
 WALKS, SAMPLES = 32, 2
@@ -125,24 +126,26 @@ class Items:
             out.places = np.floor(share[None] * (3 * n // 2)[:, None, None]).astype(np.int64)
             flat = np.concatenate(words)  # segments follow each other as the words do
             starts = np.cumsum(n) - n
-            out.keys = out.embed(flat, starts, starts + n, np.arange(len(n)))
+            out.keys = np.concatenate([out.embed(flat, starts[i : i + 4096], (starts + n)[i : i + 4096], np.arange(len(n))[i : i + 4096]) for i in range(0, len(n), 4096)])
         return out
 
     def embed(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """The sampled words of every walk: (window, walk, sample)."""
-        places = self.places[segment]
-        steps = int(places.max(initial=0)) + 1
+        """The sampled words of every walk: (window, walk, sample).  Nothing else of a walk is kept."""
+        places = self.places[segment].ravel()
+        order = np.argsort(places, kind="stable")
+        steps = int(places.max(initial=-1)) + 1
+        upto = np.searchsorted(places[order], np.arange(steps + 1))
+        out = np.empty(len(places), np.int64)
         padded = np.append(flat, 0)
-        written = np.empty((steps, len(start), WALKS), np.int64)
         at = np.repeat(start[:, None], WALKS, axis=1)
         end = stop[:, None]
         salt = (np.arange(WALKS, dtype=np.uint64) << np.uint64(40))[None]
         for t in range(steps):
             symbol = np.where(at < end, padded[np.minimum(at, len(flat))], -1)
-            written[t] = symbol
+            taken = order[upto[t] : upto[t + 1]]
+            out[taken] = symbol.ravel()[taken // SAMPLES]
             at += (_hash(symbol.astype(np.uint64) ^ salt, 1 + t) & np.uint64(1)).astype(np.int64)
-        w, r = np.ogrid[: len(start), :WALKS]
-        return written[places, w[..., None], r[..., None]]
+        return out.reshape(len(start), WALKS, SAMPLES)
 
     def sizes(self) -> np.ndarray:
         """By item: words, allowed edits, and the runs that those leave."""
@@ -253,16 +256,27 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield Items.of(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, hits): for every row the items found, as (item_id, distance, start, end) in words."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    hit = "array<struct<item_id:long,distance:int,start:long,end:long>>"
-    out = documents.select("doc_id", text_or_empty().alias("text"), F.array().cast(hit).alias("hits"))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+def _by_blocks(documents: DataFrame, benchmark: DataFrame, block_bytes: int, step) -> DataFrame:  # noqa: ANN001
+    """``step(frame, broadcast block)`` for one block after the other; a block's result is written before the next."""
+    out, shared, since = documents, None, settled_so_far()
     for items in item_blocks(benchmark, block_bytes):
+        if shared is not None:
+            out = settle(out, "decontaminated")
+            shared.unpersist()
+            discard(documents.sparkSession, since, keep=1)
         shared = documents.sparkSession.sparkContext.broadcast(items)
+        out = step(out, shared)
+    return out
+
+
+def find_items(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, hits): for every row the items found, as (item_id, distance, start, end) in words."""
+    kind, item = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    hit = f"array<struct<item_id:{item.simpleString()},distance:int,start:long,end:long>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(item)), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(frame: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in slices(batches):
                 hits = batch.column(2).to_pylist()
@@ -270,16 +284,15 @@ def find_items(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BL
                     hits[i] = hits[i] + [dict(zip(("item_id", "distance", "start", "end"), (items.ids[k], d, a, b))) for k, d, a, b in items.search(text)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, arrow)], ["doc_id", "text", "hits"])
 
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, hits {hit}")
-    return out.select("doc_id", F.array_sort("hits").alias("hits"))
+        return frame.mapInArrow(run, f"doc_id {kind}, text string, hits {hit}")
+
+    begun = documents.select("doc_id", text_or_empty().alias("text"), F.array().cast(hit).alias("hits"))
+    return _by_blocks(begun, benchmark, block_bytes, step).select("doc_id", F.array_sort("hits").alias("hits"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows in which no item is found, all columns kept as they are."""
-    out = documents
-    for items in item_blocks(benchmark, block_bytes):
-        out = out.where(_clean_test(documents.sparkSession.sparkContext.broadcast(items))(text_or_empty()))
-    return out
+    return _by_blocks(documents, benchmark, block_bytes, lambda frame, shared: frame.where(_clean_test(shared)(text_or_empty())))
 
 
 def _clean_test(shared):  # noqa: ANN001, ANN202

@@ -111,3 +111,42 @@ def test_odd_rows(spark, documents, nothing, bench):
     assert d.op6(documents, bench_df.where("item_id = -1")).where("contaminated").count() == 0
     short = spark.createDataFrame([(1, "so x, y!"), (2, "y x"), (3, "a lone z")], "doc_id long, text string")
     assert {r.doc_id: r.item_ids for r in d.op6(short, bench_df).collect()} == {1: [73, 73], 2: [], 3: [74]}
+
+
+def test_whole_result_by_brute_force(spark, bench):
+    """Every pair of item and document against plain edit distance: nothing false, and hardly anything missed."""
+    items, words = bench
+    r = random.Random(31)
+    items = items[:12]
+    docs = []
+    for i in range(60):
+        own = items[i % 12][1].split()
+        part = own[: r.randrange(len(own) // 2, len(own) + 1)]
+        docs.append((i, " ".join(r.choices(words, k=r.randrange(30)) + edited(r, part, r.randrange(0, len(own) // 3)) + r.choices(words, k=r.randrange(30)))))
+    got = {x.doc_id: dict(zip(x.item_ids, x.distances)) for x in d.op6(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, item): k for i, t in docs for item, text in items if (k := plain_distance(d.words_of(text.encode()), d.words_of(t.encode()))) <= d.allowed(len(d.words_of(text.encode())))}
+    found = {(i, item): k for i, hits in got.items() for item, k in hits.items()}
+    assert set(found) <= set(want) and all(found[x] >= want[x] for x in found)
+    assert len(found) >= 0.97 * len(want) and len(want) > 15
+
+
+def test_memory_of_a_very_long_item():
+    """Keys and windows hold the sampled words alone, however long an item is."""
+    import tracemalloc
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(r.choices(words, k=100)).encode()) for i in range(500)] + [(500, " ".join(long := r.choices(words, k=20_000)).encode())]
+    tracemalloc.start()
+    block = d.Items.of(rows)
+    hits = block.search(" ".join(long[:5000] + ["x"] + long[5000:]).encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [h[0] for h in hits] == [500] and peak < 150_000_000
+
+
+def test_item_ids_of_any_type(spark, bench):
+    items = [(f"q{i}", t) for i, t in bench[0][:5]] + [(None, "one two three four")]
+    docs = spark.createDataFrame([("a", items[3][1]), (None, "zero one two three four five"), ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r.item_ids for r in d.op6(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {"a": ["q3"], None: [None], "b": []}
