@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ HEAD = 150_000
 #: Items: words of their own, and buckets of endings for all other words.
 OWN_ITEMS, ENDINGS = 1200, 300
 #: Words of fewer occurrences have the class of their ending.
-LEAST = 4
+LEAST = 8
 _FLUSH = 250_000
 _STEPS = 64  # steps of the count scale a power of two, to find the head's smallest count
 
@@ -269,10 +270,10 @@ class Classes:
 
 
 def sweep_head(training: DataFrame, classes: Classes, g: np.ndarray) -> np.ndarray:
-    """New classes of the head's words, by their contexts in all training texts."""
+    """New classes of the head's words, by their contexts in all training texts; items of their own have theirs."""
     spark, k = training.sparkSession, classes.number
     often = int((classes.head.counts >= LEAST).sum())
-    if not often:
+    if often <= OWN_ITEMS:
         return classes.of_head
     shared = spark.sparkContext.broadcast((classes, g))
     width = 2 * k + 1  # counts before and after each class, and beside itself
@@ -292,7 +293,7 @@ def sweep_head(training: DataFrame, classes: Classes, g: np.ndarray) -> np.ndarr
                 seq = classes.sequence(of)
                 after, before = seq[2:], k + seq[:-2]
                 twin = at[1:] == at[:-1]
-                known = (at >= 0) & (at < often)
+                known = (at >= OWN_ITEMS) & (at < often)
                 again, once = np.append(twin, False), np.append(False, twin)
                 held.append(at[known & ~again] * width + after[known & ~again])
                 held.append(at[known & ~once] * width + before[known & ~once])
@@ -365,49 +366,56 @@ def tail_words(documents: DataFrame, held_out: Column, classes: Classes, g: np.n
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed], ["token", "held", "key", "slots"])
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by token, training before held out: nothing is held but one token's training rows."""
+        """Rows sorted by token, training before held out.  Of a token only its training rows are ever held back."""
         classes, g = shared.value
-        state = ClassBigrams(g)
-        last, keys, slots, n, of = None, [], [], 0, None
-        out: list[tuple] = []
-        kinds = np.zeros(k, np.int64)
-
-        def decide() -> int:
-            if n < LEAST:
-                return -1
-            vector = np.bincount(np.array(slots), minlength=2 * k).astype(np.float64)
-            return state.move(int(classes.of_ending[_ending(last) - OWN_ITEMS]), vector[:k], vector[k:])
-
-        def table() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "token", "n", "class"])
-
-        def close() -> None:
-            nonlocal of
-            if last is not None and of is None and n:
-                of = decide()
-                kinds[of if of >= 0 else classes.of_ending[_ending(last) - OWN_ITEMS]] += 1
-                out.extend((x, last, n, of) for x in keys)
+        state, kinds = ClassBigrams(g), np.zeros(k, np.int64)
+        back: list[pa.RecordBatch] = []  # the last token's training rows, if there may be more
+        done: tuple[bytes, int, int] | None = None  # a token that is decided and may have more held-out rows
+
+        def rows(batch: pa.RecordBatch, n: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+            some = pa.array(n > 0)
+            return pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n), pa.array(of.astype(np.int32))], ["key", "token", "n", "class"]).filter(some)
+
+        def decided(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """All rows of whole tokens."""
+            nonlocal done
+            first, stop = _token_runs(batch.column(0))
+            lists = batch.column(3)
+            off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            n = (off[stop] - off[first]).astype(np.int64) // 2
+            of = np.full(len(first), -1, np.int64)
+            words = batch.column(0).take(pa.array(first)).to_pylist()
+            for r in np.flatnonzero(n > 0).tolist():
+                ending = int(classes.of_ending[_ending(words[r]) - OWN_ITEMS])
+                if n[r] >= LEAST:
+                    vector = np.bincount(values[off[first[r]] : off[stop[r]]], minlength=2 * k).astype(np.float64)
+                    ending = of[r] = state.move(ending, vector[:k], vector[k:])
+                kinds[ending] += 1
+            done = (words[-1], int(n[-1]), int(of[-1]))
+            run = np.repeat(np.arange(len(first)), stop - first)
+            return rows(batch, n[run], of[run])
 
         for batch in batches:
-            for token, held, key, mine in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if token != last:
-                    close()
-                    last, keys, slots, n, of = token, [], [], 0, None
-                if not held:
-                    keys.append(key)
-                    slots += mine
-                    n += len(mine) // 2
-                elif n:
-                    close()
-                    out.append((key, last, n, of))
-            if len(out) > 50_000:
-                yield table()
-                out = []
-        close()
-        out += [(None, None, int(x), c) for c, x in enumerate(kinds) if x]
-        yield table()
+            if done is not None and batch.num_rows and batch.column(0)[0].as_py() == done[0]:
+                _, stop = _token_runs(batch.column(0))
+                size = int(stop[0])
+                yield rows(batch.slice(0, size), np.full(size, done[1]), np.full(size, done[2]))
+                batch = batch.slice(size)
+            if not batch.num_rows:
+                continue
+            if back:
+                batch = pa.Table.from_batches([*back, batch]).combine_chunks().to_batches()[0]
+                back = []
+            cut = batch.num_rows
+            if not batch.column(1)[cut - 1].as_py():  # the last token may have more training rows
+                cut = int(_token_runs(batch.column(0))[0][-1])
+                back = [batch.slice(cut)]
+            if cut:
+                yield decided(batch.slice(0, cut))
+        if back:
+            yield decided(back[0])
+        some = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(kinds[some]), pa.array(some.astype(np.int32))], ["key", "token", "n", "class"])
 
     text = text_or_empty()
     source = documents.select(text.alias("text"), F.xxhash64(text).alias("key"), held_out.alias("held"))
@@ -434,6 +442,15 @@ def classes_of(raw: bytes, number: int) -> np.ndarray:
     return np.concatenate([[number - 1], np.frombuffer(raw, "<i4"), [number - 1]]).astype(np.int64)
 
 
+def _token_runs(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and ends of runs of equal tokens; there is one at least."""
+    n = len(tokens)
+    new = np.ones(n, bool)
+    new[1:] = pc.not_equal(tokens.slice(1), tokens.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)
+
+
 def _total(table: DataFrame, column: str, size: int) -> np.ndarray:
     """Column ``n`` summed by a small whole-number column."""
     out = np.zeros(size, np.int64)
@@ -477,18 +494,20 @@ def fit_and_score(
         classes = shared.value
         index, counts = classes.head.index(), classes.head.counts
         for batch in slices(batches):
-            n_tokens, n_known, base, own, rows, counted = [], [], [], [], [], []
-            for text, found in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
+            n_tokens, n_known, base, own, rows = [], [], [], [], []
+            tails = batch.column(1)
+            edges = tails.offsets.to_numpy().tolist()
+            tokens_of, values_of = tails.values.field(0).to_pylist(), tails.values.field(1).to_pylist()
+            for i, text in enumerate(utf8(batch.column(0))):
                 words, at, of = classes.places(text, index)
-                known = {x["token"]: (x["n"], x["class"]) for x in found or ()}
                 n = counts[at] if len(counts) else np.zeros(len(at), np.int64)
-                beyond = np.flatnonzero(at < 0).tolist()
-                if beyond:
-                    of, n = of.copy(), n.copy()
-                    for i in beyond:
-                        n[i], c = known.get(words[i], (0, -1))
-                        if c >= 0:
-                            of[i] = c
+                beyond = np.flatnonzero(at < 0)
+                if len(beyond):
+                    a, b = edges[i], edges[i + 1]
+                    known = dict(zip(tokens_of[a:b], values_of[a:b])).get
+                    packed = np.array([known(words[j], 0) for j in beyond.tolist()], np.int64)
+                    n[beyond], c = packed >> 16, (packed & 0xFFFF) - 1
+                    of[beyond[c >= 0]] = c[c >= 0]
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((n > 0).sum()) + (texts > 0) if tokens else 0)
                 base.append(float(np.log10(n + 1.0).sum()) + math.log10(texts + 1) - n_tokens[-1] * base_below if tokens else 0.0)
@@ -497,7 +516,7 @@ def fit_and_score(
             columns = [*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(rows, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays(columns, ["_held", *names, "_of", "n_tokens", "n_known", "base_score", "_own"])
 
-    info = tail.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("token", "n", "class")).alias("_tail"))
+    info = tail.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("token", F.expr("n * 65536 + class + 1").alias("v"))).alias("_tail"))
     joined = source.join(info, F.col("_key") == F.col("key"), "left").select("_text", "_tail", "_held", *names)
     schema = "_held boolean, " + "".join(f"{n} {kinds[n]}, " for n in names) + "_of binary, n_tokens long, n_known long, base_score double, _own double"
     parts = settle(joined.mapInArrow(resolved, schema), "lm-classes")
