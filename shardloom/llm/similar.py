@@ -4,23 +4,31 @@ Two texts are near when the Jaccard similarity of their sets of five-word shingl
 A print has ``BITS`` bits, each set in over half of the set's hashes; two texts of similarity J
 differ in a share acos(2 J / (1 + J)) / pi of them at most, 0.151 at 0.8: 39 of 256 bits, with a
 deviation of 6, so ``RADIUS`` is met by all but one pair in thousands.  No code on the whole print
-reaches that radius with few anchors.  Each print is therefore replicated to ``TABLES`` anchors, each
-made of ``SAMPLED`` of its bits: a pair at 0.8 shares one with probability 1 - (1 - 0.849^18)^64 = 0.97,
-at 0.85 with over 0.99.  Of the prints that meet at an anchor, each is paired with the nearest
-``NEAREST`` of smaller place within the radius; every such pair is checked on its shingles exactly, and
-groups are the components of the pairs that hold.
-
-Not lossless: a pair may share no anchor, or be left out where nearer ones exist (its texts are then
-in one group unless those fail the check).  At an anchor of more than ``CROWD`` rows, in order of the
-print, a row meets the ``CROWD`` before it.
+reaches that radius with few anchors: the Hamming code on pieces of 31 bits, as operator 5 has it, would
+need about 400 replicas of each print for the same recall.  Each print is therefore replicated to
+``TABLES`` anchors, each made of ``SAMPLED`` of its bits: a pair at 0.8 shares one with probability
+1 - (1 - 0.849^18)^64 = 0.97, at 0.85 with over 0.99.  With more prints anchors have more bits, so that few
+meet there by chance, and there are more of them, for the same recall.
+
+Prints that meet at an anchor within the radius are candidates, and every link is checked on the
+shingles exactly.  Groups are the components of the links, so a pair need not be checked once its texts
+are in one group.  First, prints that stand close in a few sorted orders are linked, which joins large
+groups of copies without comparing all of them.  Then every print is compared with all of other groups at
+its anchors.  Of one print's candidates in one group the nearest ``NEAREST`` are checked; where there are
+more and the groups stay apart, the round is repeated with eight times as many, until none is left out.
+An anchor where one group has over ``SPLIT`` rows is dealt out: that group's rows over parts, the others
+to every part.
+
+Not lossless: a pair may share no anchor.
 
 Defined results: texts of equal shingle sets are copies, null and empty texts too; a text of five
 words or fewer is one shingle; case and white space don't count; repeated rows are copies; an empty
-table gives no rows.
+table gives no rows.  Of rows that are equal in id and text any one may stand for them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +46,10 @@ WORDS = 4
 BITS = 64 * WORDS
 RADIUS = 60
 TABLES, SAMPLED = 64, 18
-NEAREST, CROWD = 3, 1024
+NEAREST, SPLIT = 4, 8192
+#: Rows before a print in a sorted order that it is compared with.
+BESIDE = 24
 _PRINT = [f"p{k}" for k in range(WORDS)]
-_SAMPLES = np.stack([np.random.default_rng(20_261_126 + t).permutation(BITS)[:SAMPLED] for t in range(TABLES)])
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,79 +88,136 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         keys, prints = [], np.empty((batch.num_rows, WORDS), np.uint64)
-        for i, text in enumerate(utf8(batch.column(1))):
+        for i, text in enumerate(utf8(batch.column(0))):
             hashes = shingle_set(text)
             keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             prints[i] = wide_print(hashes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], ["doc_id", "_row", "key", *_PRINT])
-
-
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 20_000):
-        prints = np.column_stack([batch.column(k + 1).to_numpy() for k in range(WORDS)]).view(np.uint64)
-        for t, places in enumerate(_SAMPLES):
-            code = np.full(len(prints), t, np.int64)
-            for place in places.tolist():
-                code = (code << 1) | ((prints[:, place // 64] >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["anchor", "node", *_PRINT])
-
-
-def _nearest(small: np.ndarray, large: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each larger node's pairs the ``NEAREST``."""
-    order = np.lexsort((small, far, large))
-    small, large, far = small[order], large[order], far[order]
-    first = np.searchsorted(large, large)
-    keep = np.arange(len(large)) - first < NEAREST
-    return small[keep], large[keep], far[keep]
-
-
-def _pairs(anchor: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-    """Pairs of whole anchors; each anchor's own nearest, as the key of a pair is (anchor, larger node)."""
-    order = np.lexsort((prints[:, 1], prints[:, 0], anchor))
-    anchor, node, prints = anchor[order], node[order], prints[order]
-    run = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
-    held = [np.empty(0, np.int64)] * 3
-    places = np.argsort(np.lexsort((node, run)))  # place in order of (anchor, node): unique, and grows with node in an anchor
-    found: list[list[np.ndarray]] = []
-    alive, shift = np.arange(max(0, len(anchor) - 1)), 1
-    while len(alive) and shift <= CROWD:
-        alive = alive[alive + shift < len(anchor)]
-        alive = alive[run[alive] == run[alive + shift]]
-        far = np.bitwise_count(prints[alive] ^ prints[alive + shift]).sum(axis=1, dtype=np.int64)
-        ok = alive[far <= RADIUS]
-        if len(ok):
-            a, b = places[ok], places[ok + shift]
-            found.append([np.minimum(a, b), np.maximum(a, b), far[far <= RADIUS]])
-        shift += 1
-        if len(found) >= 32:
-            held, found = list(_nearest(*(np.concatenate([h, *(f[k] for f in found)]) for k, h in enumerate(held)))), []
-    if found:
-        held = list(_nearest(*(np.concatenate([h, *(f[k] for f in found)]) for k, h in enumerate(held))))
-    back = np.empty(len(node), np.int64)
-    back[places] = node
-    return pa.RecordBatch.from_arrays([pa.array(back[held[0]]), pa.array(back[held[1]])], ["a", "b"])
+        names = [*batch.schema.names[1:], "key", *_PRINT]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.binary()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], names)
+
+
+def samples(prints: int) -> np.ndarray:
+    """The bits of each anchor, for so many prints: an anchor expects 2,048 by chance at most."""
+    bits = max(SAMPLED, math.ceil(math.log2(max(prints, 1) / 2048)))
+    share = 1 - math.acos(2 * LEAST / (1 + LEAST)) / math.pi  # equal bits of a pair at LEAST
+    missed = (1 - share**SAMPLED) ** TABLES
+    tables = math.ceil(math.log(missed) / math.log(1 - share**bits) - 1e-9)
+    return np.stack([np.random.default_rng(20_261_126 + t).permutation(BITS)[:bits] for t in range(tables)])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by anchor; an anchor that a batch ends in is carried to the next."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.column_stack([batch.column(at + k).to_numpy() for k in range(WORDS)]).view(np.uint64)
 
-    def flush() -> pa.RecordBatch:
-        return _pairs(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
+def _replicate(places: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            prints = _matrix(batch, 2)
+            for t, bits in enumerate(places):
+                code = np.full(len(prints), t, np.uint64)
+                for place in bits.tolist():
+                    code = (code << np.uint64(1)) | ((prints[:, place // 64] >> np.uint64(place % 64)) & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *batch.columns], ["anchor", "node", "root", *_PRINT])
+
+    return run
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by print: each with the nearest few of those shortly before it in its task."""
+    node, prints = np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
     for batch in batches:
-        if not batch.num_rows:
+        old = len(node)
+        node = np.concatenate([node, batch.column(0).to_numpy()])
+        prints = np.concatenate([prints, _matrix(batch, 1)])
+        found = []
+        for shift in range(1, min(BESIDE, len(node) - 1) + 1):
+            at = np.arange(max(old, shift), len(node))
+            far = np.bitwise_count(prints[at] ^ prints[at - shift]).sum(axis=1, dtype=np.int64)
+            ok = far <= RADIUS
+            found.append(np.column_stack([at[ok], far[ok], at[ok] - shift]))
+        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+        rank = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
+        pairs = pairs[rank < 2]
+        a, b = node[pairs[:, 0]], node[pairs[:, 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        node, prints = node[-BESIDE:], prints[-BESIDE:]
+
+
+def _far(prints: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
+
+
+def _across(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Within each run (anchor): of each row the nearest pairs with each other group, and whether there were more."""
+    size = np.bincount(run)
+    pairs = [np.empty((0, 3), np.int64)]
+    # Small runs shift by shift, all at once.
+    alive, shift = np.flatnonzero(size[run] <= 512), 1
+    while len(alive):
+        alive = alive[alive + shift < len(run)]
+        alive = alive[run[alive] == run[alive + shift]]
+        at = alive[root[alive] != root[alive + shift]]
+        far = _far(prints, at, at + shift)
+        ok = far <= RADIUS
+        if ok.any():
+            pairs.append(np.column_stack([at[ok], at[ok] + shift, far[ok]]))
+        shift += 1
+    # Large ones row by row: rows of the largest group come last and are never compared with each other.
+    for r in np.flatnonzero(size > 512).tolist():
+        rows = np.flatnonzero(run == r)
+        _, group, count = np.unique(root[rows], return_inverse=True, return_counts=True)
+        if len(count) < 2:
             continue
-        anchor, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        prints = np.column_stack([batch.column(k + 2).to_numpy() for k in range(WORDS)]).view(np.uint64)
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut or (held and held[-1][0][-1] != anchor[-1]):
-            held.append((anchor[:cut], node[:cut], prints[:cut]))
-            yield flush()
-            held = []
-        held.append((anchor[cut:], node[cut:], prints[cut:]))
-    if held:
-        yield flush()
+        rank = np.lexsort((group, count[group]))
+        rows, group = rows[rank], group[rank]
+        for i in range(len(rows) - int(count[group[-1]])):
+            other = rows[i + 1 :][group[i + 1 :] != group[i]]
+            far = _far(prints, rows[i], other)
+            ok = far <= RADIUS
+            if ok.any():
+                pairs.append(np.column_stack([np.full(ok.sum(), rows[i]), other[ok], far[ok]]))
+    i, j, far = np.concatenate(pairs).T
+    order = np.lexsort((node[j], far, root[j], i))
+    i, j = i[order], j[order]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])]) if len(i) else np.empty(0, bool)
+    of = np.cumsum(new) - 1
+    place = np.arange(len(i)) - np.flatnonzero(new)[of] if len(i) else np.empty(0, np.int64)
+    more = np.bincount(of)[of] > most if len(i) else np.empty(0, bool)
+    kept = place < most
+    return node[i[kept]], node[j[kept]], more[kept]
+
+
+def _meet(most: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by anchor and part; one that a batch ends in is carried to the next."""
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            anchor, part, node, root = (table.column(i).to_numpy() for i in range(4))
+            run = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))])
+            a, b, more = _across(run, node, root, _matrix(table, 4), most)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = (anchor == anchor[-1]) & (part == part[-1])
+            cut = int(np.argmax(last))
+            same = bool(held) and held[-1].column(0)[0].as_py() == anchor[0] and held[-1].column(1)[0].as_py() == part[0]
+            if held and not same:
+                yield flush(held)
+                held = []
+            if cut:
+                yield flush([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,33 +232,85 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(near)
 
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``node`` to check."""
-    longs = ", ".join(f"{p} long" for p in _PRINT)
-    replicas = prints.select("node", *_PRINT).mapInArrow(_replicate, f"anchor long, node long, {longs}")
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meet, "a long, b long").distinct()
+_LONGS = ", ".join(f"{p} long" for p in _PRINT)
+
+
+def sorted_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): near prints that stand together when sorted by one word after the other."""
+    out = None
+    for k in range(WORDS):
+        order = [f"p{(k + j) % WORDS}" for j in range(WORDS)]
+        part = prints.select("node", *_PRINT).repartitionByRange(*order, "node").sortWithinPartitions(*order, "node").mapInArrow(_beside, "a long, b long")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def anchor_pairs(prints: DataFrame, total: int, most: int, split: int = SPLIT) -> DataFrame:
+    """(a, b, more): of each print the nearest ``most`` of every other group (``root``) at each of its anchors."""
+    replicas = prints.select("node", "root", *_PRINT).mapInArrow(_replicate(samples(total)), f"anchor long, node long, root long, {_LONGS}")
+    # A group is as large at an anchor as it is at most: only rows of large groups need counting.
+    large = prints.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > split).select(F.col("root").alias("_large"))
+    if large.isEmpty():
+        dealt = replicas.withColumn("part", F.lit(0))
+    else:
+        counted = prints.join(large, F.col("root") == F.col("_large"), "left_semi").select("node", "root", *_PRINT).mapInArrow(_replicate(samples(total)), f"anchor long, node long, root long, {_LONGS}")
+        sizes = counted.groupBy("anchor", "root").agg(F.count("*").alias("n")).where(F.col("n") > split)
+        hot = sizes.groupBy("anchor").agg(F.max(F.struct("n", "root")).alias("_h")).select(F.col("anchor").alias("_anchor"), F.col("_h.root").alias("_hot"), F.ceil(F.col("_h.n") / split).cast("int").alias("_parts"))
+        met = replicas.join(hot, F.col("anchor") == F.col("_anchor"), "left")
+        own = F.array(F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+        parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("_hot"), own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        dealt = met.withColumn("part", F.explode(parts))
+    dealt = dealt.select("anchor", "part", "node", "root", *_PRINT)
+    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_meet(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def links_of(pairs: DataFrame, best: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose texts are near by their shingles."""
+    needed = pairs.select(F.col("a").alias("_need")).unionByName(pairs.select(F.col("b").alias("_need"))).distinct()
+    ids = best.join(needed, best["node"] == needed["_need"], "left_semi").select("node", F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2"))
+    texts = documents.select(text_or_empty().alias("text"), *_key())
+    # One text for a node, however often its row is repeated.
+    met = texts.join(ids, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))).select("node", "text").dropDuplicates(["node"])
+    sets = settle(met.mapInArrow(_sets, "node long, hashes binary"), "shingles")
+    left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("hashes").alias(f"h{k}")) for k in "ab")
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "ha", "hb")
+    return settle(both.mapInArrow(_exact, "a long, b long"), "links")
+
 
+def _key() -> list:
+    return [F.xxhash64("doc_id", text_or_empty()).alias("_k1"), F.xxhash64(text_or_empty(), F.lit(1)).alias("_k2")]
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows kept of each near-duplicate group: one, of the smallest id (null ids last).
 
-    ``documents`` must be a repeatable source, such as a table: rows are numbered in a scan.
-    """
-    row = F.monotonically_increasing_id()
+def keep_one(documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -> DataFrame:
+    """The rows kept of each near-duplicate group: one, of the smallest id (null ids last)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    numbered = documents.select("doc_id", text_or_empty().alias("text"), row.alias("_row"))
-    found = settle(numbered.mapInArrow(_prints, f"doc_id {kind}, _row long, key binary, " + ", ".join(f"{p} long" for p in _PRINT)), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
-    best = settle(found.groupBy("key", *_PRINT).agg(first.alias("_first")).select(F.col("_first._row").alias("node"), "_first", *_PRINT), "sets")
-    pairs = settle(candidate_pairs(best), "pairs")
-    needed = pairs.select(F.col("a").alias("_need")).unionByName(pairs.select(F.col("b").alias("_need"))).distinct()
-    texts = numbered.select(F.col("_row").alias("node"), "text")
-    sets = settle(texts.join(needed.hint("shuffle_hash"), texts["node"] == needed["_need"], "left_semi").mapInArrow(_sets, "node long, hashes binary"), "shingles")
-    left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("hashes").alias(f"h{k}")) for k in "ab")
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "ha", "hb")
-    roots = connected_components(settle(both.mapInArrow(_exact, "a long, b long"), "links"))
-    rooted = best.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("_root"), "_first")
-    keep = settle(rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_keep")), "kept")
-    marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), row.alias("_row"))
-    # The kept rows' numbers grow with the documents: a shuffled join at every size, never a broadcast.
-    return marked.join(keep.hint("shuffle_hash"), marked["_row"] == keep["_keep"], "left_semi").select("_doc.*")
+    rows = documents.select(text_or_empty().alias("text"), "doc_id", *_key())
+    found = rows.mapInArrow(_prints, f"doc_id {kind}, _k1 long, _k2 long, key binary, {_LONGS}")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("_first")
+    # Numbered as written: every later read sees the same numbers.
+    best = settle(found.groupBy("key", *_PRINT).agg(first).select(F.monotonically_increasing_id().alias("node"), "_first", *_PRINT), "sets")
+    total = best.count()
+    links = links_of(settle(sorted_pairs(best), "pairs"), best, documents)
+    while True:
+        roots = settle(connected_components(links), "roots")
+        grouped = best.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "_first", *_PRINT)
+        if nearest is None:
+            break
+        pairs = settle(anchor_pairs(grouped, total, nearest, split), "pairs")
+        links = settle(links.unionByName(links_of(pairs.select("a", "b"), best, documents)), "links")
+        # Groups that have grown together need no more; others may have candidates that were left out.
+        nearest = nearest * 8 if not pairs.where("more").isEmpty() and _apart(pairs.where("more"), links) else None
+    keep = settle(grouped.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2")), "kept")
+    marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), *_key())
+    # The kept rows grow with the documents: a shuffled join at every size, never a broadcast.  Rows that are
+    # equal in id and text meet in it, and one of them stays.
+    kept = marked.join(keep.hint("merge"), (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left_semi")
+    return kept.groupBy("_k1", "_k2").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> bool:
+    """Whether any pair's ends are still in different groups."""
+    roots = connected_components(links)
+    end = lambda k: roots.select(F.col("node").alias(f"_{k}"), F.col("root").alias(f"_r{k}"))
+    met = pairs.select("a", "b").join(end("a"), F.col("a") == F.col("_a"), "left").join(end("b"), F.col("b") == F.col("_b"), "left")
+    return not met.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).isEmpty()

@@ -49,3 +49,53 @@ def test_odd_rows(documents, rows, nothing):
     assert not any(alike(x, y) for k, x in enumerate(sets) for y in sets[:k])
     assert all(any(alike(plain_set(t), y) for y in sets) for _, t in rows)
     assert similar.keep_one(nothing).count() == 0
+
+
+def test_every_row_of_a_crowded_family_finds_its_group(spark, tmp_path):
+    """Hundreds of texts that share most but not enough, some with close copies: no limit on candidates hides a link."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for g in range(60):  # within the radius of each other, but under 0.8
+        text = list(base)
+        for k in range(4):
+            text[(g * 7 + k * 50) % 200] = f"own{g}_{k}"
+        rows.append((g, " ".join(text)))
+        for c in range(3):
+            copy = list(text)
+            copy[(g * 11 + c * 31) % 200] = f"c{c}"
+            rows.append((1000 + 10 * g + c, " ".join(copy)))
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    sets = {i: plain_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in sets})
+    plenty, few = (sorted(x.doc_id for x in similar.keep_one(docs, **options).collect()) for options in ({}, {"nearest": 1, "split": 5}))
+    assert plenty == few  # rounds go on until nothing was left out
+    assert set(want) <= set(plenty) and len(plenty) <= len(want) + 3  # pairs that share no anchor
+
+
+def test_repeated_rows_and_other_splits(spark, tmp_path):
+    """One of equal rows stays, and numbers don't depend on how the source is cut."""
+    rows = [(i % 40, f"text number {i % 40} " + " ".join(f"x{i % 40}_{k}" for k in range(30))) for i in range(200)] + [(None, "alone a b c d e f")] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(f"{tmp_path}/t")
+    kept = similar.keep_one(spark.read.parquet(f"{tmp_path}/t"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        got = sorted((str(x.doc_id), x.text) for x in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted({(str(i), t) for i, t in rows})
