@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import decontaminate, packing, pii, quality, similar
-from shardloom.llm.common import settle
+from shardloom.llm.common import discard, settle, settled_so_far
 from shardloom.llm.queries import tokenizer_file
 
 
@@ -52,7 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Stages before it run while the frame is made.
+
+    Null and empty texts are documents like others to every stage; rows with equal id and text are near
+    copies, of which one stays; an empty table gives no rows; further columns pass all stages but the last.
+    What a stage wrote for itself is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = settled_so_far()
         docs = settle(stage(spark, docs, sf_dir), name)
+        discard(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
