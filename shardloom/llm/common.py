@@ -65,14 +65,6 @@ def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
     del _made[since:upto]
 
 
-def numbered(documents: DataFrame, tag: str, *columns: Column | str) -> DataFrame:
-    """The rows (or the given columns of them) with ``_row``, a number that is written once.
-
-    Numbers taken in two scans of one source may differ, as its splits follow the executors alive.
-    """
-    return settle(documents.select(*(columns or ["*"]), F.monotonically_increasing_id().alias("_row")), tag)
-
-
 def id_bytes(column: str = "doc_id") -> Column:
     """The id as text, empty for null, as the fold rules hash it."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

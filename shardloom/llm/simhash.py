@@ -250,27 +250,27 @@ def component_of_fingerprints(prints: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows kept of each near-duplicate group: one, of the smallest id (null ids last).
 
-    ``documents`` must be a repeatable source, such as a table: rows are numbered in a scan.
+    Rows are told by a 128-bit hash of id and text, the same in every scan; of rows that are equal in
+    both any one may stay.
     """
-    row = F.monotonically_increasing_id()
-    numbered = documents.select("doc_id", "text", row.alias("_row"))
+    key = [F.xxhash64("doc_id", text_or_empty()).alias("_k1"), F.xxhash64(text_or_empty(), F.lit(1)).alias("_k2")]
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "_row", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(0))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], ["doc_id", "_k1", "_k2", "fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    found = numbered.select("doc_id", text_or_empty().alias("text"), "_row").mapInArrow(run, f"doc_id {kind}, _row long, fp long")
-    prints = settle(found, "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
-    best = prints.groupBy("fp").agg(first.alias("_first"))
+    found = documents.select(text_or_empty().alias("text"), "doc_id", *key).mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, fp long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2"))
+    best = settle(found.groupBy("fp").agg(first.alias("_first")), "fingerprints")
     roots = connected_components(settle(near_links(best.select("fp")), "links"))
     rooted = best.join(roots, best["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("_root"), "_first")
-    keep = settle(rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_keep")), "kept")
-    marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), row.alias("_row"))
-    # The kept rows' numbers grow with the documents: a shuffled join at every size, never a broadcast.
-    return marked.join(keep.hint("shuffle_hash"), marked["_row"] == keep["_keep"], "left_semi").select("_doc.*")
+    keep = settle(rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2")), "kept")
+    marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), *key)
+    # The kept rows grow with the documents: a shuffled join at every size, never a broadcast.
+    kept = marked.join(keep.hint("merge"), (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left_semi")
+    return kept.groupBy("_k1", "_k2").agg(F.first("_doc").alias("_doc")).select("_doc.*")
 
 
 def op5(documents: DataFrame) -> DataFrame:
