@@ -3,10 +3,11 @@
 Exchange clustering gives every word of the training texts a class, in two steps.  The driver
 clusters *items*: the most frequent words, each by itself, and buckets of all others by their
 endings.  It moves items between classes while the class bigrams' likelihood grows.  Then one
-exchange sweep over all words with ``LEAST`` occurrences or more runs on the executors: a word's
-counts before and after each class are brought together, and it leaves its item's class for the
-one in which the likelihood is greatest, by the same gain.  (Each task updates its own copy of the
-class bigrams as it moves words.)  Rarer words, too few to tell, keep the class of their ending.
+exchange sweep over all other words with ``LEAST`` occurrences or more runs on the executors: a
+word's counts before and after each class are brought together, and it leaves its item's class for
+the one in which the class bigrams' likelihood gains most.  Such words are rare against the classes,
+so the gain is taken to first order: the likelihood of the word's contexts in the class, for all words
+of a batch at once.  Rarer words, too few to tell, keep the class of their ending.
 The number of classes grows with the number of training tokens (their fourth root), so the table of
 class bigrams grows with its square root.  A text's probability is the product of class-transition
 and word-emission probabilities,
@@ -45,7 +46,7 @@ HEAD = 150_000
 #: Items: words of their own, and buckets of endings for all other words.
 OWN_ITEMS, ENDINGS = 1200, 300
 #: Words of fewer occurrences have the class of their ending.
-LEAST = 8
+LEAST = 4
 _FLUSH = 250_000
 _STEPS = 64  # steps of the count scale a power of two, to find the head's smallest count
 
@@ -269,137 +270,132 @@ class Classes:
         return np.concatenate([end, of, end])
 
 
-def sweep_head(training: DataFrame, classes: Classes, g: np.ndarray) -> np.ndarray:
-    """New classes of the head's words, by their contexts in all training texts; items of their own have theirs."""
-    spark, k = training.sparkSession, classes.number
-    often = int((classes.head.counts >= LEAST).sum())
-    if often <= OWN_ITEMS:
-        return classes.of_head
-    shared = spark.sparkContext.broadcast((classes, g))
-    width = 2 * k + 1  # counts before and after each class, and beside itself
+def likeliest(g: np.ndarray):  # noqa: ANN201
+    """A function from counts (word; before each class, then after each) to the class that gains most."""
+    k = len(g)
+    joint = np.log(g + 0.5)
+    before = joint - np.log(g.sum(axis=1, keepdims=True) + 0.5 * k)  # the word's class, then its neighbour's
+    after = joint - np.log(g.sum(axis=0, keepdims=True) + 0.5 * k)
+    weight = np.concatenate([before.T, after])[:, : k - 1]  # the last class is the end's
+    return lambda counts: np.argmax(counts @ weight, axis=1)
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, _ = shared.value
-        index = classes.head.index()
-        held: list[np.ndarray] = []
 
-        def table() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code // width), pa.array((code % width).astype(np.int32)), pa.array(n)], ["word", "slot", "n"])
+#: Rows of both kinds of words: a head word's place or, negative, the hash of another word; that word; whether
+#: the text is held out; the text's hash; classes before and after it, or one such and its number.
+_CONTEXTS = "place long, token binary, held boolean, key long, slots array<int>, n long"
 
-        for batch in slices(batches):
-            for text in utf8(batch.column(0)):
-                _, at, of = classes.places(text, index)
-                seq = classes.sequence(of)
-                after, before = seq[2:], k + seq[:-2]
-                twin = at[1:] == at[:-1]
-                known = (at >= OWN_ITEMS) & (at < often)
-                again, once = np.append(twin, False), np.append(False, twin)
-                held.append(at[known & ~again] * width + after[known & ~again])
-                held.append(at[known & ~once] * width + before[known & ~once])
-                held.append(at[known & again] * width + 2 * k)
-            if sum(map(len, held)) > 4_000_000:
-                yield table()
-                held = []
-        if held:
-            yield table()
 
-    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, g = shared.value
-        state, last, vector, words, found = ClassBigrams(g), None, np.zeros(width), [], []
+def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np.ndarray) -> DataFrame:
+    """The sweep over all words but own items, by their contexts in all training texts.
 
-        def done() -> None:
-            words.append(last)
-            found.append(state.move(int(classes.of_head[last]), vector[:k].copy(), vector[k : 2 * k].copy(), vector[2 * k]))
-
-        for batch in batches:
-            word, slot, n = (batch.column(i).to_numpy() for i in range(3))
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(word)]):
-                if word[a] != last:
-                    if last is not None:
-                        done()
-                    last, vector = int(word[a]), np.zeros(width)
-                np.add.at(vector, slot[a:b], n[a:b])
-        if last is not None:
-            done()
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(found, pa.int64())], ["word", "class"])
-
-    parts = training.select(text_or_empty().alias("text")).mapInArrow(contexts, "word long, slot int, n long")
-    # Words of one task in descending order of count, as an exchange sweep visits them.
-    rows = parts.repartition("word").sortWithinPartitions("word").mapInArrow(moves, "word long, class long").toArrow()
-    out = classes.of_head.copy()
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
-
-
-def tail_words(documents: DataFrame, held_out: Column, classes: Classes, g: np.ndarray) -> DataFrame:
-    """(key, token, n, class): for every text its words beyond the head, with count and class in training.
-
-    ``key`` is the text's hash.  Words that training doesn't have are left out; class -1 is the ending's.
-    Rows without a key are numbers of distinct words by class, a task's each.
+    Rows (key, token, n, class): for every text, known by its hash ``key``, its words beyond the head with
+    their counts and classes in training (words that training doesn't have are left out; class -1 is the
+    ending's).  Rows without a key: of a head word, -1 - its place and its new class; else numbers of
+    distinct words beyond the head by class, a task's each.
     """
     shared = documents.sparkSession.sparkContext.broadcast((classes, g))
     k = classes.number
+    often = int((classes.head.counts >= LEAST).sum())
+    width = 2 * k
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, _ = shared.value
         index = classes.head.index()
+        codes: list[np.ndarray] = []
+        size = 0
+
+        def head_rows() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            m = len(code)
+            slots = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array((code % width).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(code // width), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), slots, pa.array(n)], names)
+
+        names = ["place", "token", "held", "key", "slots", "n"]
         for batch in slices(batches):
             tokens, held, keys, slots, sizes = [], [], [], [], []
             for text, key, out in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words, at, of = classes.places(text, index)
-                seq = classes.sequence(of).tolist()
+                seq = classes.sequence(of)
+                if not out:
+                    known = np.flatnonzero((at >= OWN_ITEMS) & (at < often))
+                    codes += [at[known] * width + seq[known + 2], at[known] * width + k + seq[known]]
+                    size += 2 * len(known)
+                beyond = np.flatnonzero(at < 0)
                 seen: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(at < 0).tolist():
-                    mine = seen.setdefault(words[i], [])
-                    if not out:
-                        mine += (seq[i + 2], k + seq[i])
+                if out:
+                    seen = dict.fromkeys([words[i] for i in beyond.tolist()], [])
+                else:
+                    for i, x, y in zip(beyond.tolist(), seq[beyond + 2].tolist(), (seq[beyond] + k).tolist()):
+                        mine = seen.get(words[i])
+                        if mine is None:
+                            seen[words[i]] = [x, y]
+                        else:
+                            mine += (x, y)
                 tokens += seen
                 held += [out] * len(seen)
                 keys += [key] * len(seen)
                 for mine in seen.values():
                     slots += mine
-                    sizes.append(len(mine))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
-            listed = pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed], ["token", "held", "key", "slots"])
+                sizes += map(len, seen.values())
+            if tokens:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+                listed = pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32()))
+                places = np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - places), pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed, pa.nulls(len(tokens), pa.int64())], names)
+            if size > 8_000_000:
+                yield head_rows()
+                codes, size = [], 0
+        if size:
+            yield head_rows()
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by token, training before held out.  Of a token only its training rows are ever held back."""
+        """Rows sorted by place and token, training before held out.  Of a word only its training rows are ever held back."""
         classes, g = shared.value
-        state, kinds = ClassBigrams(g), np.zeros(k, np.int64)
-        back: list[pa.RecordBatch] = []  # the last token's training rows, if there may be more
-        done: tuple[bytes, int, int] | None = None  # a token that is decided and may have more held-out rows
+        best, kinds = likeliest(g), np.zeros(k, np.int64)
+        back: list[pa.RecordBatch] = []  # the last word's rows, if there may be more that count
+        done: tuple[int, bytes | None, int, int] | None = None  # a word that is decided and may have more held-out rows
 
         def rows(batch: pa.RecordBatch, n: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
             some = pa.array(n > 0)
-            return pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n), pa.array(of.astype(np.int32))], ["key", "token", "n", "class"]).filter(some)
+            return pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), pa.array(n), pa.array(of.astype(np.int32))], ["key", "token", "n", "class"]).filter(some)
 
-        def decided(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """All rows of whole tokens."""
+        def decided(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """All rows of whole words: head words first or last, as places sort."""
             nonlocal done
-            first, stop = _token_runs(batch.column(0))
-            lists = batch.column(3)
+            first, stop = _word_runs(batch)
+            place = batch.column(0).to_numpy()[first]
+            lists = batch.column(4)
             off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            n = (off[stop] - off[first]).astype(np.int64) // 2
+            times = batch.column(5).fill_null(1).to_numpy()
+            is_head = place >= 0
+            n = np.where(is_head, LEAST, (off[stop] - off[first]) // 2).astype(np.int64)
             of = np.full(len(first), -1, np.int64)
-            words = batch.column(0).take(pa.array(first)).to_pylist()
-            for r in np.flatnonzero(n > 0).tolist():
-                ending = int(classes.of_ending[_ending(words[r]) - OWN_ITEMS])
-                if n[r] >= LEAST:
-                    vector = np.bincount(values[off[first[r]] : off[stop[r]]], minlength=2 * k).astype(np.float64)
-                    ending = of[r] = state.move(ending, vector[:k], vector[k:])
-                kinds[ending] += 1
-            done = (words[-1], int(n[-1]), int(of[-1]))
+            big = np.flatnonzero(n >= LEAST)
+            for at in range(0, len(big), 4096):
+                part = big[at : at + 4096]
+                counts = np.zeros((len(part), width))
+                for q, r in enumerate(part.tolist()):
+                    a, b = first[r], stop[r]
+                    weight = np.repeat(times[a:b], np.diff(off[a : b + 1])) if is_head[r] else None
+                    counts[q] = np.bincount(values[off[a] : off[b]], weight, width)
+                of[part] = best(counts)
+            heads = np.flatnonzero(is_head)
+            if len(heads):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.binary()), pa.array(-1 - place[heads]), pa.array(of[heads].astype(np.int32))], ["key", "token", "n", "class"])
+            tails = np.flatnonzero(~is_head & (n > 0))
+            words = batch.column(1).take(pa.array(first[tails])).to_pylist()
+            own = np.where(of[tails] >= 0, of[tails], classes.of_ending[[_ending(w) - OWN_ITEMS for w in words]] if words else of[tails])
+            np.add.at(kinds, own, 1)
+            done = (int(place[-1]), batch.column(1)[batch.num_rows - 1].as_py(), int(n[-1]), int(of[-1]))
             run = np.repeat(np.arange(len(first)), stop - first)
-            return rows(batch, n[run], of[run])
+            keep = ~is_head[run]
+            if keep.any():
+                yield rows(batch.filter(pa.array(keep)), n[run][keep], of[run][keep])
 
         for batch in batches:
-            if done is not None and batch.num_rows and batch.column(0)[0].as_py() == done[0]:
-                _, stop = _token_runs(batch.column(0))
-                size = int(stop[0])
-                yield rows(batch.slice(0, size), np.full(size, done[1]), np.full(size, done[2]))
+            if done is not None and batch.num_rows and done[1] is not None and batch.column(0)[0].as_py() == done[0] and batch.column(1)[0].as_py() == done[1]:
+                size = int(_word_runs(batch)[1][0])
+                yield rows(batch.slice(0, size), np.full(size, done[2]), np.full(size, done[3]))
                 batch = batch.slice(size)
             if not batch.num_rows:
                 continue
@@ -407,20 +403,20 @@ def tail_words(documents: DataFrame, held_out: Column, classes: Classes, g: np.n
                 batch = pa.Table.from_batches([*back, batch]).combine_chunks().to_batches()[0]
                 back = []
             cut = batch.num_rows
-            if not batch.column(1)[cut - 1].as_py():  # the last token may have more training rows
-                cut = int(_token_runs(batch.column(0))[0][-1])
+            if not batch.column(2)[cut - 1].as_py():  # the last word may have more rows that count
+                cut = int(_word_runs(batch)[0][-1])
                 back = [batch.slice(cut)]
             if cut:
-                yield decided(batch.slice(0, cut))
+                yield from decided(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks().to_batches()[0])
         if back:
-            yield decided(back[0])
+            yield from decided(pa.Table.from_batches(back).combine_chunks().to_batches()[0])
         some = np.flatnonzero(kinds)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(kinds[some]), pa.array(some.astype(np.int32))], ["key", "token", "n", "class"])
 
     text = text_or_empty()
     source = documents.select(text.alias("text"), F.xxhash64(text).alias("key"), held_out.alias("held"))
-    parts = source.mapInArrow(contexts, "token binary, held boolean, key long, slots array<int>")
-    return parts.repartition("token").sortWithinPartitions("token", "held").mapInArrow(assigned, "key long, token binary, n long, class int")
+    parts = source.mapInArrow(contexts, _CONTEXTS)
+    return parts.repartition("place").sortWithinPartitions("place", "token", "held").mapInArrow(assigned, "key long, token binary, n long, class int")
 
 
 @dataclass
@@ -442,11 +438,13 @@ def classes_of(raw: bytes, number: int) -> np.ndarray:
     return np.concatenate([[number - 1], np.frombuffer(raw, "<i4"), [number - 1]]).astype(np.int64)
 
 
-def _token_runs(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """First rows and ends of runs of equal tokens; there is one at least."""
-    n = len(tokens)
+def _word_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and ends of runs of equal place and token; there is one at least."""
+    n = batch.num_rows
+    place, token = batch.column(0).to_numpy(), batch.column(1)
     new = np.ones(n, bool)
-    new[1:] = pc.not_equal(tokens.slice(1), tokens.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    other = pc.not_equal(token.slice(1), token.slice(0, n - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+    new[1:] = (place[1:] != place[:-1]) | other
     first = np.flatnonzero(new)
     return first, np.append(first[1:], n)
 
@@ -479,8 +477,11 @@ def fit_and_score(
     member[np.arange(ITEMS), of] = 1
     g = member.T @ bigrams @ member
     first = Classes(head, of[head.items()].astype(np.int64), of[OWN_ITEMS:END_ITEM], k)
-    tail = settle(tail_words(documents, held_out, first, g), "lm-tail")
-    classes = Classes(head, sweep_head(training, first, g), first.of_ending, k)
+    tail = settle(word_classes(documents, held_out, first, g), "lm-words")
+    moved = tail.where("key IS NULL AND n < 0").select((-1 - F.col("n")).alias("place"), "class").toArrow()  # at most the head
+    of_head = first.of_head.copy()
+    of_head[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
+    classes = Classes(head, of_head, first.of_ending, k)
 
     # Every text's classes, and what of its score doesn't depend on transitions.
     shared = spark.sparkContext.broadcast(classes)
@@ -496,8 +497,9 @@ def fit_and_score(
         for batch in slices(batches):
             n_tokens, n_known, base, own, rows = [], [], [], [], []
             tails = batch.column(1)
-            edges = tails.offsets.to_numpy().tolist()
-            tokens_of, values_of = tails.values.field(0).to_pylist(), tails.values.field(1).to_pylist()
+            edges = (tails.offsets.to_numpy() - tails.offsets[0].as_py()).tolist()
+            flat = tails.flatten()  # of this slice alone
+            tokens_of, values_of = flat.field(0).to_pylist(), flat.field(1).to_pylist()
             for i, text in enumerate(utf8(batch.column(0))):
                 words, at, of = classes.places(text, index)
                 n = counts[at] if len(counts) else np.zeros(len(at), np.int64)
@@ -532,7 +534,7 @@ def fit_and_score(
 
     t = _total(parts.where("NOT _held").select("_of").mapInArrow(transitions, "code long, n long"), "code", k * k).reshape(k, k)
     distinct = np.bincount(classes.of_head, minlength=k)
-    distinct = distinct + _total(tail.where("key IS NULL"), "class", k)
+    distinct = distinct + _total(tail.where("key IS NULL AND n > 0"), "class", k)
     size = t.sum(axis=0)
     share = (size + 1) / (size.sum() + k)
     transition = np.log10((t + alpha * share) / (t.sum(axis=1, keepdims=True) + alpha))
