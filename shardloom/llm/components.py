@@ -16,6 +16,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     logarithmic in their size.  Each round is written to the shared folder, and only the number
     of links and a checksum of them reach the driver.  Minima are aggregated before the shuffle
     and joined back, so that the hub of a star is no task's burden.
+
+    Links with a null end, of a node to itself, or given before, count for nothing; without links
+    there are no rows.  Nodes may be of any type that has an order.
     """
     pair = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = settle(pair, "cc")

@@ -99,3 +99,14 @@ def test_keep_one(documents, rows, nothing):
     want = sorted(min((i for i in g if i is not None), default=-1) for g in groups.values())
     assert sorted(-1 if i is None else i for i, _ in got) == want
     assert simhash.keep_one(nothing).count() == 0
+
+
+def test_components_of_odd_links(spark):
+    from shardloom.llm.components import connected_components
+
+    links = [(1, 2), (2, 1), (2, 3), (5, 5), (None, 7), (9, None), (8, 7), (8, 7), (None, None)]
+    got = sorted(tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    named = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
+    assert sorted(tuple(r) for r in named) == [("a", "a"), ("b", "a"), ("c", "a")]
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
