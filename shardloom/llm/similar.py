@@ -12,8 +12,9 @@ meet there by chance, and there are more of them, for the same recall.
 
 Prints that meet at an anchor within the radius are candidates, and every link is checked on the
 shingles exactly.  Groups are the components of the links, so a pair need not be checked once its texts
-are in one group.  First, prints that stand close in a few sorted orders are linked, which joins large
-groups of copies without comparing all of them.  Then every print is compared with all of other groups at
+are in one group.  First, prints that stand together in a few sorted orders are linked to the first of their
+block, and those to the first of a larger one, which joins large groups of copies without comparing all of
+them, and into stars rather than chains.  Then every print is compared with all of other groups at
 its anchors.  Of one print's candidates in one group the nearest ``NEAREST`` are checked; where there are
 more and the groups stay apart, the round is repeated with eight times as many, until none is left out.
 An anchor where one group has over ``SPLIT`` rows is dealt out: that group's rows over parts, the others
@@ -47,8 +48,8 @@ BITS = 64 * WORDS
 RADIUS = 60
 TABLES, SAMPLED = 64, 18
 NEAREST, SPLIT = 4, 8192
-#: Rows before a print in a sorted order that it is compared with.
-BESIDE = 24
+#: Rows of a block in a sorted order; a larger block has as many blocks.
+BESIDE = 64
 _PRINT = [f"p{k}" for k in range(WORDS)]
 
 
@@ -123,25 +124,22 @@ def _replicate(places: np.ndarray):  # noqa: ANN202
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by print: each with the nearest few of those shortly before it in its task."""
-    node, prints = np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
+    """Rows sorted by print: near pairs of each with its block's first row, of those with their larger block's, and of these in a row."""
+    last = None
     for batch in batches:
-        old = len(node)
-        node = np.concatenate([node, batch.column(0).to_numpy()])
-        prints = np.concatenate([prints, _matrix(batch, 1)])
-        found = []
-        for shift in range(1, min(BESIDE, len(node) - 1) + 1):
-            at = np.arange(max(old, shift), len(node))
-            far = np.bitwise_count(prints[at] ^ prints[at - shift]).sum(axis=1, dtype=np.int64)
-            ok = far <= RADIUS
-            found.append(np.column_stack([at[ok], far[ok], at[ok] - shift]))
-        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-        rank = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
-        pairs = pairs[rank < 2]
-        a, b = node[pairs[:, 0]], node[pairs[:, 2]]
+        if not batch.num_rows:
+            continue
+        node, prints, row = batch.column(0).to_numpy(), _matrix(batch, 1), np.arange(batch.num_rows)
+        small, large = row - row % BESIDE, row - row % BESIDE**2
+        heads, firsts = np.flatnonzero(small == row), np.flatnonzero(large == row)
+        i = np.concatenate([row, heads, firsts[1:]])
+        j = np.concatenate([small, large[heads], firsts[:-1]])
+        ok = (i != j) & (_far(prints, i, j) <= RADIUS)
+        a, b = node[i[ok]], node[j[ok]]
+        if last is not None and np.bitwise_count(last[1] ^ prints[0]).sum() <= RADIUS:
+            a, b = np.append(a, node[0]), np.append(b, last[0])
+        last = node[0], prints[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        node, prints = node[-BESIDE:], prints[-BESIDE:]
 
 
 def _far(prints: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -291,15 +289,13 @@ def keep_one(documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -
     best = settle(found.groupBy("key", *_PRINT).agg(first).select(F.monotonically_increasing_id().alias("node"), "_first", *_PRINT), "sets")
     total = best.count()
     links = links_of(settle(sorted_pairs(best), "pairs"), best, documents)
-    while True:
-        roots = settle(connected_components(links), "roots")
-        grouped = best.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "_first", *_PRINT)
-        if nearest is None:
-            break
+    grouped = _regrouped(best.withColumn("root", F.col("node")), links)
+    while nearest is not None:
         pairs = settle(anchor_pairs(grouped, total, nearest, split), "pairs")
-        links = settle(links.unionByName(links_of(pairs.select("a", "b"), best, documents)), "links")
+        grouped = _regrouped(grouped, links_of(pairs.select("a", "b"), best, documents))
         # Groups that have grown together need no more; others may have candidates that were left out.
-        nearest = nearest * 8 if not pairs.where("more").isEmpty() and _apart(pairs.where("more"), links) else None
+        rest = pairs.where("more")
+        nearest = nearest * 8 if not rest.isEmpty() and not _between(grouped, rest).isEmpty() else None
     keep = settle(grouped.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2")), "kept")
     marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), *_key())
     # The kept rows grow with the documents: a shuffled join at every size, never a broadcast.  Rows that are
@@ -308,9 +304,15 @@ def keep_one(documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -
     return kept.groupBy("_k1", "_k2").agg(F.first("_doc").alias("_doc")).select("_doc.*")
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> bool:
-    """Whether any pair's ends are still in different groups."""
-    roots = connected_components(links)
-    end = lambda k: roots.select(F.col("node").alias(f"_{k}"), F.col("root").alias(f"_r{k}"))
-    met = pairs.select("a", "b").join(end("a"), F.col("a") == F.col("_a"), "left").join(end("b"), F.col("b") == F.col("_b"), "left")
-    return not met.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).isEmpty()
+def _between(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the different groups that pairs of nodes join, each pair of groups once."""
+    end = lambda k: grouped.select(F.col("node").alias(f"_{k}"), F.col("root").alias(f"_r{k}"))
+    met = pairs.select("a", "b").join(end("a"), F.col("a") == F.col("_a")).join(end("b"), F.col("b") == F.col("_b"))
+    return met.where("_ra <> _rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b")).distinct()
+
+
+def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """``grouped`` with the roots of the groups that links join: only links between groups are followed."""
+    roots = connected_components(settle(_between(grouped, links), "between"))
+    new = grouped.join(roots.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
+    return settle(new.withColumn("root", F.coalesce("_new", "root")).select("node", "root", "_first", *_PRINT), "grouped")
