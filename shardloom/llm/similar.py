@@ -12,9 +12,9 @@ meet there by chance, and there are more of them, for the same recall.
 
 Prints that meet at an anchor within the radius are candidates, and every link is checked on the
 shingles exactly.  Groups are the components of the links, so a pair need not be checked once its texts
-are in one group.  First, prints that stand together in a few sorted orders are linked to the first of their
-block, and those to the first of a larger one, which joins large groups of copies without comparing all of
-them, and into stars rather than chains.  Then every print is compared with all of other groups at
+are in one group.  First, prints that stand together in two sorted orders, one after the other, are linked to
+the first of their block, and those to the first of a larger one, which joins large groups of copies without
+comparing all of them, and into stars rather than chains.  Then every print is compared with all of other groups at
 its anchors.  Of one print's candidates in one group the nearest ``NEAREST`` are checked; where there are
 more and the groups stay apart, the round is repeated with eight times as many, until none is left out.
 An anchor where one group has over ``SPLIT`` rows is dealt out: that group's rows over parts, the others
@@ -46,6 +46,8 @@ SEED = 42
 WORDS = 4
 BITS = 64 * WORDS
 RADIUS = 60
+#: Radius in which prints that stand together are linked: few pairs so near fail the exact check.
+CLOSE = 40
 TABLES, SAMPLED = 64, 18
 NEAREST, SPLIT = 4, 8192
 #: Rows of a block in a sorted order; a larger block has as many blocks.
@@ -124,21 +126,24 @@ def _replicate(places: np.ndarray):  # noqa: ANN202
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by print: near pairs of each with its block's first row, of those with their larger block's, and of these in a row."""
+    """Rows (node, root, print) sorted by print: close pairs of different groups, each row with its block's first,
+    those with their larger block's, and these in a row."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, prints, row = batch.column(0).to_numpy(), _matrix(batch, 1), np.arange(batch.num_rows)
+        node, root, prints, row = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch, 2), np.arange(batch.num_rows)
         small, large = row - row % BESIDE, row - row % BESIDE**2
         heads, firsts = np.flatnonzero(small == row), np.flatnonzero(large == row)
         i = np.concatenate([row, heads, firsts[1:]])
         j = np.concatenate([small, large[heads], firsts[:-1]])
-        ok = (i != j) & (_far(prints, i, j) <= RADIUS)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        ok = _far(prints, i, j) <= CLOSE
         a, b = node[i[ok]], node[j[ok]]
-        if last is not None and np.bitwise_count(last[1] ^ prints[0]).sum() <= RADIUS:
+        if last is not None and last[1] != root[0] and np.bitwise_count(last[2] ^ prints[0]).sum() <= CLOSE:
             a, b = np.append(a, node[0]), np.append(b, last[0])
-        last = node[0], prints[0]
+        last = node[0], root[0], prints[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
@@ -233,14 +238,11 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LONGS = ", ".join(f"{p} long" for p in _PRINT)
 
 
-def sorted_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b): near prints that stand together when sorted by one word after the other."""
-    out = None
-    for k in range(WORDS):
-        order = [f"p{(k + j) % WORDS}" for j in range(WORDS)]
-        part = prints.select("node", *_PRINT).repartitionByRange(*order, "node").sortWithinPartitions(*order, "node").mapInArrow(_beside, "a long, b long")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+def sorted_pairs(prints: DataFrame, first: int) -> DataFrame:
+    """(a, b): close prints of different groups that stand together when sorted by their words from the ``first`` on."""
+    order = [f"p{(first + j) % WORDS}" for j in range(WORDS)]
+    rows = prints.select("node", "root", *_PRINT).repartitionByRange(*order, "node").sortWithinPartitions(*order, "node")
+    return rows.mapInArrow(_beside, "a long, b long").distinct()
 
 
 def anchor_pairs(prints: DataFrame, total: int, most: int, split: int = SPLIT) -> DataFrame:
@@ -288,8 +290,9 @@ def keep_one(documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -
     # Numbered as written: every later read sees the same numbers.
     best = settle(found.groupBy("key", *_PRINT).agg(first).select(F.monotonically_increasing_id().alias("node"), "_first", *_PRINT), "sets")
     total = best.count()
-    links = links_of(settle(sorted_pairs(best), "pairs"), best, documents)
-    grouped = _regrouped(best.withColumn("root", F.col("node")), links)
+    grouped = best.withColumn("root", F.col("node"))
+    for k in (0, WORDS // 2):
+        grouped = _regrouped(grouped, links_of(settle(sorted_pairs(grouped, k), "pairs"), best, documents))
     while nearest is not None:
         pairs = settle(anchor_pairs(grouped, total, nearest, split), "pairs")
         grouped = _regrouped(grouped, links_of(pairs.select("a", "b"), best, documents))
