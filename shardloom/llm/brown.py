@@ -281,8 +281,8 @@ def likeliest(g: np.ndarray):  # noqa: ANN201
 
 
 #: Rows of both kinds of words: a head word's place or, negative, the hash of another word; that word; whether
-#: the text is held out; the text's hash; classes before and after it, or one such and its number.
-_CONTEXTS = "place long, token binary, held boolean, key long, slots array<int>, n long"
+#: the text is held out; the text's hash; classes before and after it; for a head word how often each.
+_CONTEXTS = "place long, token binary, held boolean, key long, slots array<int>, n array<int>"
 
 
 def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np.ndarray) -> DataFrame:
@@ -306,9 +306,11 @@ def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np
 
         def head_rows() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            m = len(code)
-            slots = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array((code % width).astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(code // width), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), slots, pa.array(n)], names)
+            place = code // width
+            edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])).astype(np.int32)
+            m = len(edge) - 1
+            slots, times = (pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (code % width, n))
+            return pa.RecordBatch.from_arrays([pa.array(place[edge[:-1]]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), slots, times], names)
 
         names = ["place", "token", "held", "key", "slots", "n"]
         for batch in slices(batches):
@@ -341,7 +343,7 @@ def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
                 listed = pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32()))
                 places = np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - places), pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed, pa.nulls(len(tokens), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - places), pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed, pa.nulls(len(tokens), pa.list_(pa.int32()))], names)
             if size > 8_000_000:
                 yield head_rows()
                 codes, size = [], 0
@@ -366,7 +368,7 @@ def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np
             place = batch.column(0).to_numpy()[first]
             lists = batch.column(4)
             off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            times = batch.column(5).fill_null(1).to_numpy()
+            times, counted = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
             is_head = place >= 0
             n = np.where(is_head, LEAST, (off[stop] - off[first]) // 2).astype(np.int64)
             of = np.full(len(first), -1, np.int64)
@@ -376,7 +378,7 @@ def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np
                 counts = np.zeros((len(part), width))
                 for q, r in enumerate(part.tolist()):
                     a, b = first[r], stop[r]
-                    weight = np.repeat(times[a:b], np.diff(off[a : b + 1])) if is_head[r] else None
+                    weight = counted[times[a] : times[b]] if is_head[r] else None
                     counts[q] = np.bincount(values[off[a] : off[b]], weight, width)
                 of[part] = best(counts)
             heads = np.flatnonzero(is_head)

@@ -119,3 +119,17 @@ def test_every_word_finds_its_class_by_its_contexts(spark):
 
 def test_classes_grow_with_the_tokens():
     assert [brown.classes_for(n) for n in (0, 10**4, 10**8, 2 * 10**13)] == [8, 10, 100, 2115]
+
+
+def test_head_words_that_are_no_items_find_their_classes(spark):
+    """More words than items of their own: head words beyond those, and words beyond the head, by contexts alone."""
+    rng = np.random.default_rng(3)
+    a, b = [f"a{i}xyz" for i in range(850)], [f"b{i}xyz" for i in range(850)]
+    texts = [(i, " ".join(x for _ in range(60) for x in (rng.choice(a), rng.choice(b)))) for i in range(500)]
+    _, model, of = fitted(spark, texts, most_head=1500)
+    moved = [w for w in model.classes.head.words[brown.OWN_ITEMS :]]
+    beyond = set(of) - set(model.classes.head.words)
+    assert len(moved) > 100 and len(beyond) > 100
+    for words in (moved, beyond):
+        of_a, of_b = (Counter(of[w] for w in words if w[:1] == kind) for kind in (b"a", b"b"))
+        assert sum(min(of_a[c], of_b[c]) for c in of_a) <= 0.1 * len(words)
