@@ -6,8 +6,8 @@ are its units' ids in order: the same ids as encoding the text at once, for a fr
 A text that holds an added token's string, such as ``<|endoftext|>``, is encoded at once: the
 library matches those before it cuts anything.  A file whose rule is another one is used without any cutting.
 
-Known units are kept in two generations of bounded bytes, for one task: the older is dropped when
-the younger is full, so that frequent units stay.
+A worker keeps known units in two generations of bounded bytes: the older is dropped when the
+younger is full, so that frequent units stay.
 """
 
 from __future__ import annotations
@@ -80,11 +80,7 @@ class UnitEncoder:
         # The byte-level alphabet: printable bytes stand for themselves, the others follow in order from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        self.forget()
-
-    def forget(self) -> UnitEncoder:
         self.known, self.tails = Memory(), {}
-        return self
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -216,10 +212,6 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
-
-
 def encoder(path: str) -> UnitEncoder:
-    """The file's encoder, knowing no unit yet: a task's own."""
-    return _loaded(path).forget()
+    """The file's encoder, one a worker."""
+    return UnitEncoder(path)
