@@ -10,15 +10,19 @@ need about 400 replicas of each print for the same recall.  Each print is theref
 1 - (1 - 0.849^18)^64 = 0.97, at 0.85 with over 0.99.  With more prints anchors have more bits, so that few
 meet there by chance, and there are more of them, for the same recall.
 
-Prints that meet at an anchor within the radius are candidates, and every link is checked on the
+Prints of different groups that meet at an anchor within the radius are candidates, and every link is checked on the
 shingles exactly.  Groups are the components of the links, so a pair need not be checked once its texts
 are in one group.  First, prints that stand together in two sorted orders, one after the other, are linked to
 the first of their block, and those to the first of a larger one, which joins large groups of copies without
-comparing all of them, and into stars rather than chains.  Then every print is compared with all of other groups at
-its anchors.  Of one print's candidates in one group the nearest ``NEAREST`` are checked; where there are
-more and the groups stay apart, the round is repeated with eight times as many, until none is left out.
-An anchor where one group has over ``SPLIT`` rows is dealt out: that group's rows over parts, the others
-to every part.
+comparing all of them, and into stars rather than chains.  Then candidates are gathered, not listed: an anchor
+gives each print the smallest one that its candidates lead to, and the components of these pairs are *families*.  A
+family's shingle sets meet in one task, which compares every pair within the radius that isn't in one group
+yet and gives one link for two groups that it joins.  So rows grow with the prints, never with their pairs.
+
+A family of over ``SPLIT`` rows or ``HASHES`` hashes is cut into blocks.  Each block is compared with itself, then
+``NEAREST`` rows of each group with each other, and where groups stay apart, all blocks with all: those of the
+largest group only with the other groups'.  Likewise an anchor where one group has over ``SPLIT`` rows is dealt
+out: that group's rows over parts, the others to every part.
 
 Not lossless: a pair may share no anchor.
 
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_or_empty, utf8
@@ -50,6 +54,8 @@ RADIUS = 60
 CLOSE = 40
 TABLES, SAMPLED = 64, 18
 NEAREST, SPLIT = 4, 8192
+#: Hashes of a block's sets, all together.
+HASHES = 2_000_000
 #: Rows of a block in a sorted order; a larger block has as many blocks.
 BESIDE = 64
 _PRINT = [f"p{k}" for k in range(WORDS)]
@@ -90,13 +96,14 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        keys, prints = [], np.empty((batch.num_rows, WORDS), np.uint64)
+        keys, sizes, prints = [], [], np.empty((batch.num_rows, WORDS), np.uint64)
         for i, text in enumerate(utf8(batch.column(0))):
             hashes = shingle_set(text)
             keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            sizes.append(len(hashes))
             prints[i] = wide_print(hashes)
-        names = [*batch.schema.names[1:], "key", *_PRINT]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.binary()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], names)
+        names = [*batch.schema.names[1:], "key", "size", *_PRINT]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], names)
 
 
 def samples(prints: int) -> np.ndarray:
@@ -151,20 +158,33 @@ def _far(prints: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
 
 
-def _across(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Within each run (anchor): of each row the nearest pairs with each other group, and whether there were more."""
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one that pairs (i, j) lead to."""
+    label = np.arange(n)
+    while len(i):
+        x, y = label[i], label[j]
+        new = label.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _together(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within each run (anchor): each row with the smallest node that close pairs of different groups lead to."""
     size = np.bincount(run)
-    pairs = [np.empty((0, 3), np.int64)]
+    pairs = [np.empty((0, 2), np.int64)]
     # Small runs shift by shift, all at once.
     alive, shift = np.flatnonzero(size[run] <= 512), 1
     while len(alive):
         alive = alive[alive + shift < len(run)]
         alive = alive[run[alive] == run[alive + shift]]
         at = alive[root[alive] != root[alive + shift]]
-        far = _far(prints, at, at + shift)
-        ok = far <= RADIUS
-        if ok.any():
-            pairs.append(np.column_stack([at[ok], at[ok] + shift, far[ok]]))
+        at = at[_far(prints, at, at + shift) <= RADIUS]
+        if len(at):
+            pairs.append(np.column_stack([at, at + shift]))
         shift += 1
     # Large ones row by row: rows of the largest group come last and are never compared with each other.
     for r in np.flatnonzero(size > 512).tolist():
@@ -174,53 +194,95 @@ def _across(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndar
             continue
         rank = np.lexsort((group, count[group]))
         rows, group = rows[rank], group[rank]
+        label = np.arange(len(rows))
         for i in range(len(rows) - int(count[group[-1]])):
-            other = rows[i + 1 :][group[i + 1 :] != group[i]]
-            far = _far(prints, rows[i], other)
-            ok = far <= RADIUS
-            if ok.any():
-                pairs.append(np.column_stack([np.full(ok.sum(), rows[i]), other[ok], far[ok]]))
-    i, j, far = np.concatenate(pairs).T
-    order = np.lexsort((node[j], far, root[j], i))
-    i, j = i[order], j[order]
-    new = np.concatenate([[True], (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])]) if len(i) else np.empty(0, bool)
-    of = np.cumsum(new) - 1
-    place = np.arange(len(i)) - np.flatnonzero(new)[of] if len(i) else np.empty(0, np.int64)
-    more = np.bincount(of)[of] > most if len(i) else np.empty(0, bool)
-    kept = place < most
-    return node[i[kept]], node[j[kept]], more[kept]
-
-
-def _meet(most: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by anchor and part; one that a batch ends in is carried to the next."""
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            anchor, part, node, root = (table.column(i).to_numpy() for i in range(4))
-            run = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))])
-            a, b, more = _across(run, node, root, _matrix(table, 4), most)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            last = (anchor == anchor[-1]) & (part == part[-1])
-            cut = int(np.argmax(last))
-            same = bool(held) and held[-1].column(0)[0].as_py() == anchor[0] and held[-1].column(1)[0].as_py() == part[0]
-            if held and not same:
-                yield flush(held)
-                held = []
-            if cut:
-                yield flush([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
+            # Rows that are in one family already need no pair.
+            other = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & (label[i + 1 :] != label[i]))
+            near = other[_far(prints, rows[i], rows[other]) <= RADIUS]
+            if len(near):
+                pairs.append(np.column_stack([np.full(len(near), rows[i]), rows[near]]))
+                label[np.isin(label, label[near])] = label[i]
+    i, j = np.concatenate(pairs).T
+    label = _joined(len(run), i, j)
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    least = least[label]
+    apart = least != node
+    return node[apart], least[apart]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by anchor and part; one that a batch ends in is carried to the next."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        anchor, part, node, root = (table.column(i).to_numpy() for i in range(4))
+        run = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _together(run, node, root, _matrix(table, 4))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        last = (anchor == anchor[-1]) & (part == part[-1])
+        cut = int(np.argmax(last))
+        same = bool(held) and held[-1].column(0)[0].as_py() == anchor[0] and held[-1].column(1)[0].as_py() == part[0]
+        if held and not same:
             yield flush(held)
+            held = []
+        if cut:
+            yield flush([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield flush(held)
+
+
+def _links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Of rows (side, node, root, print, set): one near pair for each two groups that it joins.  Rows of side 0 are
+    compared with each other, those of sides 1 and 2 with the other side."""
+    side, node, root = (np.array([r[k] for r in rows]) for k in range(3))
+    prints, size = np.stack([r[3] for r in rows]), np.array([len(r[4]) for r in rows])
+    code = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)[1]
+    codes = np.split(code, np.cumsum(size)[:-1])
+    own = np.zeros(len(code) + 1, bool)
+    for i in range(len(rows) - 1):
+        j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0)))
+        j = j[_far(prints, i, j) <= RADIUS]
+        j = j[np.minimum(size[j], size[i]) / np.maximum(np.maximum(size[j], size[i]), 1) >= LEAST]  # no set of these is empty
+        if not len(j):
+            continue
+        own[codes[i]] = True
+        both = np.add.reduceat(own[np.concatenate([codes[k] for k in j])], np.cumsum(size[j]) - size[j], dtype=np.int64)
+        own[codes[i]] = False
+        j = j[both / (size[i] + size[j] - both) >= LEAST]
+        found, first = np.unique(root[j], return_index=True)
+        for k in j[first].tolist():
+            yield int(node[i]), int(node[k])
+        root[np.isin(root, found)] = root[i]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family, part, side, node, root, print, text) arrive sorted by family and part: the links within each."""
+    last, rows = None, []
+    for batch in slices(batches):
+        found: list[tuple[int, int]] = []
+        plain = [batch.column(k).to_pylist() for k in range(5)]
+        prints, texts = _matrix(batch, 5), utf8(batch.column(5 + WORDS))
+        for i, key in enumerate(zip(*plain[:2])):
+            if key != last:
+                found += _links(rows) if len(rows) > 1 else []
+                last, rows = key, []
+            rows.append((*(x[i] for x in plain[2:]), prints[i], shingle_set(texts[i])))
+        yield _pairs(found)
+    if len(rows) > 1:
+        yield _pairs(_links(rows))
 
-    return run
+
+def _pairs(found) -> pa.RecordBatch:  # noqa: ANN001
+    table = np.array(list(found), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table.min(axis=1)), pa.array(table.max(axis=1))], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +307,8 @@ def sorted_pairs(prints: DataFrame, first: int) -> DataFrame:
     return rows.mapInArrow(_beside, "a long, b long").distinct()
 
 
-def anchor_pairs(prints: DataFrame, total: int, most: int, split: int = SPLIT) -> DataFrame:
-    """(a, b, more): of each print the nearest ``most`` of every other group (``root``) at each of its anchors."""
+def families(prints: DataFrame, total: int, split: int = SPLIT) -> DataFrame:
+    """(node, root): the prints that are candidates of another group's (``root``), and the smallest node of their family."""
     replicas = prints.select("node", "root", *_PRINT).mapInArrow(_replicate(samples(total)), f"anchor long, node long, root long, {_LONGS}")
     # A group is as large at an anchor as it is at most: only rows of large groups need counting.
     large = prints.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > split).select(F.col("root").alias("_large"))
@@ -261,16 +323,81 @@ def anchor_pairs(prints: DataFrame, total: int, most: int, split: int = SPLIT) -
         parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("_hot"), own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
         dealt = met.withColumn("part", F.explode(parts))
     dealt = dealt.select("anchor", "part", "node", "root", *_PRINT)
-    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_meet(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return connected_components(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_meet, "a long, b long"))
+
+
+def _blocks(split: int) -> Column:
+    """Blocks of so many rows (``_n``) and hashes (``_size``): 1 at least."""
+    return F.greatest(F.ceil(F.col("_n") / split), F.ceil(F.col("_size") / HASHES), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame, split: int) -> DataFrame:
+    """``rows`` with the part of their family that they are compared in: their block."""
+    sizes = rows.groupBy("family").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")).select(F.col("family").alias("_family"), _blocks(split).alias("_blocks"))
+    met = rows.join(sizes, F.col("family") == F.col("_family"))
+    return met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("side", F.lit(0)).drop("_family")
+
+
+def _all_dealt(rows: DataFrame, split: int) -> DataFrame:
+    """``rows`` with all parts in which their block meets another: blocks of the largest group those of the other
+    groups, and these each other."""
+    groups = rows.groupBy("family", "root").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    hot = F.max(F.struct("_n", "_size", "root"))
+    sums = groups.groupBy("family").agg(hot.alias("_hot"), F.sum("_n").alias("_all"), F.sum("_size").alias("_all_size"))
+    kinds = sums.select(F.col("family").alias("_family"), F.col("_hot.root").alias("_largest"), F.struct("_hot._n", "_hot._size").alias("_h"), F.struct((F.col("_all") - F.col("_hot._n")).alias("_n"), (F.col("_all_size") - F.col("_hot._size")).alias("_size")).alias("_o"))
+    for k in "ho":
+        kinds = kinds.select("*", f"_{k}.*").withColumn(f"_{k}", _blocks(split)).drop("_n", "_size")
+    met = rows.join(kinds, F.col("family") == F.col("_family"))
+    met = met.withColumn("_b", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("_largest"), F.col("_h")).otherwise(F.col("_o"))).cast("int"))
+    own = F.expr("transform(sequence(0, _o - 1), j -> struct(_b * _o + j AS part, 1 AS side))")
+    others = F.expr(
+        "concat(transform(sequence(0, _h - 1), i -> struct(i * _o + _b AS part, 2 AS side)), "
+        "transform(sequence(0, _o - 1), k -> struct(_h * _o + least(_b, k) * _o + greatest(_b, k) AS part, CASE WHEN k = _b THEN 0 WHEN _b < k THEN 1 ELSE 2 END AS side)))"
+    )
+    return met.withColumn("_p", F.explode(F.when(F.col("root") == F.col("_largest"), own).otherwise(others))).select("*", "_p.*").drop("_p", "_family")
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    placed = rows.select("family", "part", "side", "node", "root", *_PRINT, "text").repartition("family", "part").sortWithinPartitions("family", "part")
+    return settle(placed.mapInArrow(_compare, "a long, b long"), "links")
+
+
+def join_families(grouped: DataFrame, total: int, documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -> DataFrame:
+    """``grouped`` with the groups joined that have near texts in one family."""
+    found = families(grouped, total, split).select(F.col("node").alias("_node"), F.col("root").alias("family"))
+    ids = grouped.join(found, F.col("node") == F.col("_node")).select("node", "root", "family", "size", *_PRINT, F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2"))
+    rows = settle(_with_text(ids, documents).drop("_j1", "_j2"), "families")
+    dealt = _dealt(rows, split)
+    grouped = _regrouped(grouped, _compared(dealt))
+    cut = dealt.where("_blocks > 1")
+    if cut.isEmpty():
+        return grouped
+    cut = cut.drop("_blocks", "part", "side")
+    few = Window.partitionBy("family", "root").orderBy("node")
+    heads = _apart(cut, grouped).withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= nearest)
+    grouped = _regrouped(grouped, _compared(_dealt(heads, split)))
+    return _regrouped(grouped, _compared(_all_dealt(_apart(cut, grouped), split)))
+
+
+def _apart(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``rows`` with their groups as they are now, of the families that have more than one."""
+    now = grouped.select(F.col("node").alias("_now"), F.col("root").alias("_root"))
+    met = rows.drop("root").join(now, F.col("node") == F.col("_now")).withColumnRenamed("_root", "root").drop("_now")
+    many = met.groupBy("family").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select(F.col("family").alias("_family"))
+    return met.join(many, F.col("family") == F.col("_family"), "left_semi")
+
+
+def _with_text(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with ``_j1`` and ``_j2`` and the text that these tell, once for a node, however often its row is repeated."""
+    texts = documents.select(text_or_empty().alias("text"), *_key())
+    return texts.join(ids, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))).drop("_k1", "_k2").dropDuplicates(["node"])
 
 
 def links_of(pairs: DataFrame, best: DataFrame, documents: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose texts are near by their shingles."""
     needed = pairs.select(F.col("a").alias("_need")).unionByName(pairs.select(F.col("b").alias("_need"))).distinct()
     ids = best.join(needed, best["node"] == needed["_need"], "left_semi").select("node", F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2"))
-    texts = documents.select(text_or_empty().alias("text"), *_key())
-    # One text for a node, however often its row is repeated.
-    met = texts.join(ids, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))).select("node", "text").dropDuplicates(["node"])
+    met = _with_text(ids, documents).select("node", "text")
     sets = settle(met.mapInArrow(_sets, "node long, hashes binary"), "shingles")
     left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("hashes").alias(f"h{k}")) for k in "ab")
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "ha", "hb")
@@ -285,20 +412,15 @@ def keep_one(documents: DataFrame, nearest: int = NEAREST, split: int = SPLIT) -
     """The rows kept of each near-duplicate group: one, of the smallest id (null ids last)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(text_or_empty().alias("text"), "doc_id", *_key())
-    found = rows.mapInArrow(_prints, f"doc_id {kind}, _k1 long, _k2 long, key binary, {_LONGS}")
+    found = rows.mapInArrow(_prints, f"doc_id {kind}, _k1 long, _k2 long, key binary, size long, {_LONGS}")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("_first")
     # Numbered as written: every later read sees the same numbers.
-    best = settle(found.groupBy("key", *_PRINT).agg(first).select(F.monotonically_increasing_id().alias("node"), "_first", *_PRINT), "sets")
+    best = settle(found.groupBy("key", "size", *_PRINT).agg(first).select(F.monotonically_increasing_id().alias("node"), "_first", "size", *_PRINT), "sets")
     total = best.count()
     grouped = best.withColumn("root", F.col("node"))
     for k in (0, WORDS // 2):
         grouped = _regrouped(grouped, links_of(settle(sorted_pairs(grouped, k), "pairs"), best, documents))
-    while nearest is not None:
-        pairs = settle(anchor_pairs(grouped, total, nearest, split), "pairs")
-        grouped = _regrouped(grouped, links_of(pairs.select("a", "b"), best, documents))
-        # Groups that have grown together need no more; others may have candidates that were left out.
-        rest = pairs.where("more")
-        nearest = nearest * 8 if not rest.isEmpty() and not _between(grouped, rest).isEmpty() else None
+    grouped = join_families(grouped, total, documents, nearest, split)
     keep = settle(grouped.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._k1").alias("_j1"), F.col("_first._k2").alias("_j2")), "kept")
     marked = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_doc"), *_key())
     # The kept rows grow with the documents: a shuffled join at every size, never a broadcast.  Rows that are
@@ -318,4 +440,4 @@ def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
     """``grouped`` with the roots of the groups that links join: only links between groups are followed."""
     roots = connected_components(settle(_between(grouped, links), "between"))
     new = grouped.join(roots.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
-    return settle(new.withColumn("root", F.coalesce("_new", "root")).select("node", "root", "_first", *_PRINT), "grouped")
+    return settle(new.withColumn("root", F.coalesce("_new", "root")).select("node", "root", "_first", "size", *_PRINT), "grouped")

@@ -99,3 +99,25 @@ def test_repeated_rows_and_other_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == sorted({(str(i), t) for i, t in rows})
+
+
+def test_rows_grow_with_the_texts_and_not_with_their_pairs(spark, tmp_path, monkeypatch):
+    """A large family of texts that are all within the radius and mostly apart: no table lists its pairs."""
+    r = random.Random(21)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for g in range(300):
+        text = list(base)
+        for k in range(4):
+            text[(g * 7 + k * 50 + r.randrange(9)) % 200] = f"own{g}_{k}"
+        rows.append((g, " ".join(text)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    counts, settle = {}, similar.settle
+
+    def counted(df, tag):
+        out = settle(df, tag)
+        counts[tag] = max(counts.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "settle", counted)
+    kept = similar.keep_one(spark.read.parquet(f"{tmp_path}/t")).count()
+    assert kept > 30 and max(counts.values()) <= len(rows), counts
