@@ -165,7 +165,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         ids, parts, size = [], [], 0
-        for batch in slices(batches, 2048, 6_000_000):
+        for batch in slices(batches, 4096, 12_000_000):
             texts = batch.column(1).to_pylist()
             for doc, raw in zip(batch.column(0).to_pylist(), encode(texts)):
                 ids.append(doc)

@@ -55,9 +55,12 @@ class Memory:
         for at in range(0, len(keys), _CHUNK):
             if self.size > self.most:
                 self.old, self.young, self.size = self.young, {}, 0
-            new = [(k, v) for k, v in zip(keys[at : at + _CHUNK], values[at : at + _CHUNK]) if len(k) <= _LONGEST]
-            self.young.update(new)
-            self.size += sum([_ENTRY + 2 * len(k) + len(v) for k, v in new])
+            k, v = keys[at : at + _CHUNK], values[at : at + _CHUNK]
+            if max(map(len, k)) > _LONGEST:
+                short = [x for x in zip(k, v) if len(x[0]) <= _LONGEST]
+                k, v = [x for x, _ in short], [x for _, x in short]
+            self.young.update(zip(k, v))
+            self.size += _ENTRY * len(k) + 2 * sum(map(len, k)) + sum(map(len, v))
 
 
 class UnitEncoder:
@@ -102,15 +105,34 @@ class UnitEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _of(self, units: list[str]) -> list[bytes]:
-        """ids of distinct units, each with its leading space: those of its word, then of the signs at its end."""
-        words = []
-        for u in units:
-            w = u.rstrip(_SIGNS)
+        """ids of distinct units, each with its leading space."""
+        out = self.known.find(units)
+        new = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(new, self._apart([units[i] for i in new])):
+            out[i] = ids
+        return out
+
+    def _apart(self, units: list[str]) -> list[bytes]:
+        """ids of distinct units that aren't known: those of the word, then of the signs at its end."""
+        words = [u.rstrip(_SIGNS) for u in units]
+        ends = {}
+        for i in [i for i, (u, w) in enumerate(zip(units, words)) if w is not u]:
             # The rule cuts between a letter or digit and a sign, and signs that end a unit are one piece.
-            words.append(w if len(u) <= len(w) + 3 and w and w[-1].isalnum() and w[-1] < "\u0250" else u)
-        distinct = list(dict.fromkeys(words))
-        ids = dict(zip(distinct, self._words(distinct)))
-        return [ids[w] if w is u or len(w) == len(u) else ids[w] + self._tail(u[len(w) :]) for u, w in zip(units, words)]
+            u, w = units[i], words[i]
+            if len(u) <= len(w) + 3 and w and w[-1].isalnum() and w[-1] < "\u0250":
+                ends[i] = u[len(w) :]
+            else:
+                words[i] = u
+        # Units without such an end are new; the words of others may be known.
+        ids = dict.fromkeys(words)
+        stems = list(dict.fromkeys([words[i] for i in ends]))
+        ids.update(zip(stems, self.known.find(stems)))
+        new = [w for w, x in ids.items() if x is None]
+        ids.update(zip(new, self._words(new)))
+        out = list(map(ids.__getitem__, words))
+        for i, signs in ends.items():
+            out[i] += self._tail(signs)
+        return out
 
     def _tail(self, signs: str) -> bytes:
         found = self.tails.get(signs)
@@ -120,11 +142,11 @@ class UnitEncoder:
         return found
 
     def _words(self, words: list[str]) -> list[bytes]:
-        out = self.known.find(words)
-        new = [i for i, x in enumerate(out) if x is None]
-        letters = [i for i in new if words[i].isalpha() and (words[i].isascii() or max(words[i]) < "\u0250")]
-        taken = set(letters)
-        rest = [i for i in new if i not in taken]
+        """ids of distinct words, which are known from now on."""
+        out: list[bytes] = [b""] * len(words)
+        letters, rest = [], []
+        for i, w in enumerate(words):
+            (letters if w.isalpha() and (w.isascii() or max(w) < "\u0250") else rest).append(i)
         plain = [i for i in rest if words[i] and " " not in words[i]]
         left = [i for i in rest if not words[i] or " " in words[i]]
         # Letters of the Latin blocks are one piece to the rule: they go straight to the library's model.
@@ -154,7 +176,7 @@ class UnitEncoder:
             part = left[at : at + _CHUNK]
             for i, found in zip(part, self._whole([" " + words[i] for i in part])):
                 out[i] = found
-        self.known.put([words[i] for i in new], [out[i] for i in new])
+        self.known.put(words, out)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -194,7 +216,7 @@ class UnitEncoder:
         used[code[inner]] = True
         used = np.flatnonzero(used)
         parts: list[bytes] = [b""] * len(words)
-        for i, ids in zip(used.tolist(), self._of(words.take(pa.array(used)).to_pylist())):
+        for i, ids in zip(used.tolist(), self._of(words.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist())):
             parts[i] = ids
         opening = np.unique(first)
         place = np.zeros(len(words), np.int64)

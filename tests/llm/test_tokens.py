@@ -8,7 +8,7 @@ import pytest
 from shardloom.llm import packing, simple8b
 from shardloom.llm.common import fresh_path
 from shardloom.llm.queries import tokenizer_file
-from shardloom.llm.tokens import encoder
+from shardloom.llm.tokens import UnitEncoder, encoder
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,17 @@ def test_added_tokens_encode_as_the_library_does(encode):
         assert np.frombuffer(raw, "<u4").tolist() == encode(text), repr(text)
 
 
+def test_known_units_are_not_worked_out_again(encode):
+    e = UnitEncoder(tokenizer_file())
+    text = "first some known words and 12 others, été end. " * 3 + "signs!?... (x) " + "y" * 200 + " z"
+    e.encode([text])
+    asked, words = [], e._words
+    e._words = lambda found: asked.extend(found) or words(found)
+    again = text.replace("others", "unseen") + " known, words. été!"
+    assert np.frombuffer(e.encode([again])[0], "<u4").tolist() == encode(again)
+    assert asked.count("unseen") == 1 and not {"some", "known", "words", "12", "été"} & set(asked)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 119, 5000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)
