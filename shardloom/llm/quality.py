@@ -14,6 +14,7 @@ when nothing is labelled); label rows whose document is missing are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -109,8 +110,8 @@ def fit_compression_model(
     the next ``max_calibration`` rows of either label, in the same order, calibrate.  Only whole
     texts are taken: one of over ``max_text_bytes`` is passed over (it is scored like any other), and
     so is one that would bring its label's over ``max_label_bytes``.  The labels alone are sorted; the
-    texts arrive by a broadcast of the chosen ids, whose number these parameters bound, and their
-    lengths decide before any text reaches the driver.
+    texts are met by a broadcast of the chosen ids, whose number these parameters bound.  Lengths decide
+    on the driver, the fit is one task of an executor: the driver gets the model, never a text.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", fold_modulus) != held_out))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("_label"))
@@ -131,20 +132,36 @@ def fit_compression_model(
         .withColumn("_h", order[0])
         .withColumn("_n", F.octet_length("text"))
     )
-    sample = settle(rows.where(F.col("_n") <= max_text_bytes), "labelled")
+    sample = settle(rows.where(F.col("_n") <= max_text_bytes).withColumn("_id", F.col("doc_id").cast("string")), "labelled")
     taken, held = [], {0: 0, 1: 0}
-    for r in sorted(sample.select("_label", "_h", "doc_id", "_n").collect(), key=lambda r: (r["_h"], str(r["doc_id"]))):
+    for r in sorted(sample.select("_label", "_h", "_id", "_n").collect(), key=lambda r: (r["_h"], r["_id"])):
         if held[r["_label"]] + r["_n"] <= max_label_bytes:
             held[r["_label"]] += r["_n"]
-            taken.append((r["_label"], r["doc_id"]))
+            taken.append((r["_label"], r["_id"]))
     place = {x: i for i, x in enumerate(taken)}
-    sets: dict[int, list[bytes]] = {0: [], 1: []}
-    # All but the few that didn't fit are taken: they are left out as they arrive.
-    found = [(place[r["_label"], r["doc_id"]], r["_label"], r["text"].encode()) for r in sample.select("_label", "doc_id", "text").toLocalIterator() if (r["_label"], r["doc_id"]) in place]
-    for _, kind, text in sorted(found):
-        sets[kind].append(text)
-    if not sets[0] or not sets[1]:
-        return CompressionModel((), (), (), prior, block, level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in slices(batches):
+            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), utf8(batch.column(2))):
+                if key in place:  # all but the few that didn't fit
+                    found.append((place[key], key[0], text))
+        sets: dict[int, list[bytes]] = {0: [], 1: []}
+        for _, kind, text in sorted(found):
+            sets[kind].append(text)
+        model = CompressionModel((), (), (), prior, block, level)
+        if sets[0] and sets[1]:
+            model = _fitted(sets, counts, prior, max_per_label, max_calibration, dictionary_bytes, block, level)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    (fitted,) = sample.select("_label", "_id", "text").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted["model"])
+
+
+def _fitted(
+    sets: dict[int, list[bytes]], counts: dict[int, int], prior: float, max_per_label: int, max_calibration: int, dictionary_bytes: tuple[int, ...], block: int, level: int
+) -> CompressionModel:
+    """The model of the texts of either label, in their order."""
     # A third of the rarer label at least goes to calibration.
     cut = {k: max(1, min(max_per_label, 2 * len(v) // 3)) for k, v in sets.items()}
     good, bad = (tuple(_dictionary(sets[kind][: cut[kind]], size, block) for size in dictionary_bytes) for kind in (1, 0))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_or_empty, utf8
-from .components import connected_components
+from .components import FEW, connected_components, joined
 
 SHINGLE, LEAST = 5, 0.8
 SEED = 42
@@ -158,20 +158,6 @@ def _far(prints: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
 
 
-def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` places the smallest one that pairs (i, j) lead to."""
-    label = np.arange(n)
-    while len(i):
-        x, y = label[i], label[j]
-        new = label.copy()
-        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _together(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Within each run (anchor): each row with the smallest node that close pairs of different groups lead to."""
     size = np.bincount(run)
@@ -203,7 +189,7 @@ def _together(run: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.nd
                 pairs.append(np.column_stack([np.full(len(near), rows[i]), rows[near]]))
                 label[np.isin(label, label[near])] = label[i]
     i, j = np.concatenate(pairs).T
-    label = _joined(len(run), i, j)
+    label = joined(len(run), i, j)
     least = node.copy()
     np.minimum.at(least, label, node)
     least = least[label]
@@ -323,7 +309,7 @@ def families(prints: DataFrame, total: int, split: int = SPLIT) -> DataFrame:
         parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("_hot"), own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
         dealt = met.withColumn("part", F.explode(parts))
     dealt = dealt.select("anchor", "part", "node", "root", *_PRINT)
-    return connected_components(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_meet, "a long, b long"))
+    return connected_components(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_meet, "a long, b long"), few=FEW)
 
 
 def _blocks(split: int) -> Column:
@@ -438,6 +424,9 @@ def _between(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
     """``grouped`` with the roots of the groups that links join: only links between groups are followed."""
-    roots = connected_components(settle(_between(grouped, links), "between"))
+    between = settle(_between(grouped, links), "between")
+    if between.isEmpty():
+        return grouped
+    roots = connected_components(between, few=FEW)
     new = grouped.join(roots.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
     return settle(new.withColumn("root", F.coalesce("_new", "root")).select("node", "root", "_first", "size", *_PRINT), "grouped")

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import zstandard
 
+from shardloom.llm import quality
 from shardloom.llm.quality import THRESHOLD, fit_compression_model, keep_good, op1, score_quality
 
 
@@ -78,3 +79,17 @@ def test_a_huge_labelled_text_is_passed_over(spark):
         model = fit_compression_model(huge, marked, **limits)
         assert model.weights and model.good and model.bad
     assert fit_compression_model(huge, marked, max_text_bytes=10_000).good == plain.good
+
+
+def test_no_text_reaches_the_driver(spark, monkeypatch):
+    """Dictionaries and calibration are made by an executor's task."""
+    docs, labels = labelled(spark, 200)
+    plain = fit_compression_model(docs, labels)
+    assert plain.weights and len(plain.good) == 2
+
+    def here(*_):
+        raise AssertionError("the fit ran on the driver")
+
+    for name in ("_dictionary", "_sizes"):
+        monkeypatch.setattr(quality, name, here)
+    assert fit_compression_model(docs, labels) == plain

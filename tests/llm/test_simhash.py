@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from shardloom.llm import simhash
+from shardloom.llm.common import settled_so_far
 from shardloom.llm.components import connected_components
 
 
@@ -110,3 +111,18 @@ def test_components_of_odd_links(spark):
     named = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
     assert sorted(tuple(r) for r in named) == [("a", "a"), ("b", "a"), ("c", "a")]
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_are_solved_in_one_task(spark):
+    """The same components as by rounds, and no stage after the links are written but the count and the one task."""
+    r = random.Random(12)
+    nodes = [r.randrange(-(1 << 63), 1 << 63) for _ in range(600)]
+    links = [(nodes[k], nodes[k + 1]) for k in range(200)] + [(r.choice(nodes[250:]), r.choice(nodes[250:])) for _ in range(150)] + [(nodes[3], nodes[3]), (None, nodes[0])]
+    df = spark.createDataFrame(links, "a long, b long")
+    plain = sorted(tuple(x) for x in connected_components(df).collect())
+    since = settled_so_far()
+    one = connected_components(df, few=1000)
+    assert settled_so_far() - since == 2
+    assert sorted(tuple(x) for x in one.collect()) == plain
+    assert sorted(tuple(x) for x in connected_components(df, few=10).collect()) == plain
+    assert connected_components(df.where("a IS NULL"), few=10).count() == 0
