@@ -16,9 +16,9 @@ and word-emission probabilities,
 
 where ``v'`` and ``w'`` are classes and a text starts after an end.  Word counts, class sizes and
 transitions cover all training texts.  Words and their classes stay a distributed table: the workers
-are sent only the head of it, whose number of words is bounded, and a text meets the counts and
-classes of its other words in a join by the text's hash (texts that share one share a dictionary,
-which is right for either).
+are sent only the head of it, whose number of words is bounded.  Texts are cut into words once
+more after the count, into a table of places in the head, where every row has an id; a row meets
+the counts and classes of its other words by that id and their numbers in it.
 
 Defined results: a null or empty text has the one end token; repeated rows are scored each; with
 no training text every probability is 1, base and score alike; a null id counts as the empty
@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ HEAD = 150_000
 OWN_ITEMS, ENDINGS = 1200, 300
 #: Words of fewer occurrences have the class of their ending.
 LEAST = 4
+#: Training tokens for a bucket of words, or for a part of the texts.
+PART = 1_000_000
 _FLUSH = 250_000
 _STEPS = 64  # steps of the count scale a power of two, to find the head's smallest count
 
@@ -112,42 +115,128 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Head, Column]:
     return Head([w for _, w in found], np.array([n for n, _ in found], np.int64)), inside
 
 
-def _items_of(text: bytes, index: dict[bytes, int], item: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a text, their places in the head (-1: beyond it) and items."""
-    words = text.lower().split()
-    at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-    items = item[at] if len(item) else np.zeros(len(at), np.int64)
-    beyond = np.flatnonzero(at < 0)
-    if len(beyond):
-        items = items.copy()
-        items[beyond] = [_ending(words[i]) for i in beyond.tolist()]
-    return words, at, items
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, one after the other, and the edges of the rows among them."""
+    column = column.cast(pa.large_binary())
+    if not len(column) or not column.buffers()[2] or not column.buffers()[2].size:
+        return np.empty(0, kind), np.zeros(len(column) + 1, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(kind), (edges - edges[0]) // np.dtype(kind).itemsize
 
 
-def item_bigrams(documents: DataFrame, head: Head) -> np.ndarray:
-    """Counts of consecutive items in all texts, the end before each text's first; items² numbers."""
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column with the numbers between two edges in each row."""
+    data = [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64) * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, data).cast(pa.binary())
+
+
+def _tokens(lens: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """Words from their sizes and their bytes, one after the other."""
+    return pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(_edges(lens)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``first``."""
+    return np.repeat(first - _edges(sizes)[:-1], sizes) + np.arange(int(sizes.sum()))
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Edges of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+
+
+def _neighbours(of: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands before and after each word of texts, and first in each text; the end is around texts."""
+    some = np.flatnonzero(np.diff(edges))
+    before, after, first = (np.full(n, end, np.int64) for n in (len(of), len(of), len(edges) - 1))
+    before[1:], after[:-1], first[some] = of[:-1], of[1:], of[edges[some]]
+    before[edges[some]] = after[edges[some + 1] - 1] = end
+    return before, after, first
+
+
+#: A text's words as places in the head (int32; beyond it -1, -2, ... for its distinct words in their order), and of
+#: those words the bytes, their number (int32) and the endings' items (uint16).
+_PLACES = "at binary, words binary, lens binary, ends binary"
+
+
+def place_words(documents: DataFrame, head: Head) -> DataFrame:
+    """The columns of ``documents`` after the first, a text, and the places of all its words."""
     shared = documents.sparkSession.sparkContext.broadcast(head)
+    kept = documents.columns[1:]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, item = shared.value.index(), shared.value.items()
-        held, size = [], 0
-        seen = np.zeros(ITEMS * ITEMS, np.int64)
+        place = shared.value.index().get
         for batch in slices(batches):
+            ats, new, sizes = [], [], []
             for text in utf8(batch.column(0)):
-                items = _items_of(text, index, item)[2]
-                held.append(np.concatenate([[END_ITEM], items]) * ITEMS + np.concatenate([items, [END_ITEM]]))
-                size += len(held[-1])
-            if size > 1_000_000:
-                codes, n = np.unique(np.concatenate(held), return_counts=True)
-                seen[codes] += n
-                held, size = [], 0
-        if held:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            seen[codes] += n
+                words = text.lower().split()
+                at = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
+                mine: dict[bytes, int] = {}
+                beyond = np.flatnonzero(at < 0)
+                if len(beyond):
+                    at[beyond] = [mine.setdefault(words[i], -1 - len(mine)) for i in beyond.tolist()]
+                ats.append(at)
+                new += mine
+                sizes.append(len(mine))
+            lens, edges = np.fromiter(map(len, new), np.int32, len(new)), _edges(np.array(sizes))
+            packed = [
+                _packed(np.concatenate(ats), _edges(np.array([len(x) for x in ats]))),
+                _packed(np.frombuffer(b"".join(new), np.uint8), _edges(lens)[edges]),
+                _packed(lens, edges),
+                _packed(np.fromiter(map(_ending, new), np.uint16, len(new)), edges),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), *packed], [*kept, "at", "words", "lens", "ends"])
+
+    return documents.mapInArrow(run, "".join(f"{n} {kinds[n]}, " for n in kept) + _PLACES)
+
+
+@dataclass
+class Placed:
+    """Some texts' words: places, edges of the texts, the text of each word; of words beyond the head their rows among all new words."""
+
+    at: np.ndarray
+    edges: np.ndarray
+    text: np.ndarray
+    beyond: np.ndarray
+    row: np.ndarray
+    ends: np.ndarray
+    new: np.ndarray  # edges of the texts among the new words
+
+    @classmethod
+    def of(cls, at: pa.Array, ends: pa.Array) -> Placed:
+        (at, edges), (ends, new) = _flat(at, "<i4"), _flat(ends, "<u2")
+        text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        beyond = np.flatnonzero(at < 0)
+        return cls(at, edges, text, beyond, new[text[beyond]] - 1 - at[beyond], ends, new)
+
+    def values(self, of_head: np.ndarray, of_new: np.ndarray) -> np.ndarray:
+        """A value for each word, from those of the head's words and of the new words."""
+        out = of_head[np.maximum(self.at, 0)] if len(of_head) else np.zeros(len(self.at), of_head.dtype)
+        out[self.beyond] = of_new[self.row]
+        return out
+
+
+def item_bigrams(placed: DataFrame, head: Head) -> np.ndarray:
+    """Counts of consecutive items in all texts, the end before each text's first; items² numbers."""
+    shared = placed.sparkSession.sparkContext.broadcast(head.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = shared.value
+        seen = np.zeros(ITEMS * ITEMS, np.int64)
+        for batch in slices(batches, 4096):
+            words = Placed.of(batch.column(0), batch.column(1))
+            items = words.values(item, words.ends)
+            _, after, first = _neighbours(items, words.edges, END_ITEM)
+            seen += np.bincount(np.concatenate([items * ITEMS + after, END_ITEM * ITEMS + first]), minlength=ITEMS * ITEMS)
         codes = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(seen[codes])], ["code", "n"])
 
-    rows = documents.select(text_or_empty().alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = placed.select("at", "ends").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ITEMS * ITEMS, np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out.reshape(ITEMS, ITEMS)
@@ -254,21 +343,6 @@ class Classes:
     of_ending: np.ndarray
     number: int
 
-    def places(self, text: bytes, index: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words of a text, their places in the head (-1: beyond it) and classes (beyond it: their endings')."""
-        words = text.lower().split()
-        at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-        of = self.of_head[at] if len(self.of_head) else np.zeros(len(at), np.int64)
-        beyond = np.flatnonzero(at < 0)
-        if len(beyond):
-            of = of.copy()
-            of[beyond] = self.of_ending[[_ending(words[i]) - OWN_ITEMS for i in beyond.tolist()]]
-        return words, at, of
-
-    def sequence(self, of: np.ndarray) -> np.ndarray:
-        end = [self.number - 1]
-        return np.concatenate([end, of, end])
-
 
 def likeliest(g: np.ndarray):  # noqa: ANN201
     """A function from counts (word; before each class, then after each) to the class that gains most."""
@@ -280,150 +354,200 @@ def likeliest(g: np.ndarray):  # noqa: ANN201
     return lambda counts: np.argmax(counts @ weight, axis=1)
 
 
-#: Rows of both kinds of words: a head word's place or, negative, the hash of another word; that word; whether
-#: the text is held out; the text's hash; classes before and after it; for a head word how often each.
-_CONTEXTS = "place long, token binary, held boolean, key long, slots array<int>, n array<int>"
+#: Words by buckets, a row for each bucket and kind that some texts have: 0 words of the head (their places in ``ids``),
+#: 1 words beyond it of training texts, 2 of held-out ones (with the texts' ids and the words' numbers there).  Bytes and
+#: lengths of the words, how many classes each has beside it, and these classes (after a word, then before it).
+_CONTEXTS = "bucket long, kind int, words binary, lens binary, ids binary, numbers binary, sizes binary, slots binary"
+#: By parts of the texts: texts' ids, words' numbers there, count << 16 | class + 1 (0: the ending's).  Part -1: places
+#: in the head and their new classes; part -2: a number of distinct words beyond the head, by class.
+_FOUND = "part long, ids binary, numbers binary, found binary, n long, class int"
 
 
-def word_classes(documents: DataFrame, held_out: Column, classes: Classes, g: np.ndarray) -> DataFrame:
+def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int) -> DataFrame:
     """The sweep over all words but own items, by their contexts in all training texts.
 
-    Rows (key, token, n, class): for every text, known by its hash ``key``, its words beyond the head with
-    their counts and classes in training (words that training doesn't have are left out; class -1 is the
-    ending's).  Rows without a key: of a head word, -1 - its place and its new class; else numbers of
-    distinct words beyond the head by class, a task's each.
+    Both ways words travel in few rows: what a task has for one bucket of words (by their hash), or for one of the
+    ``parts`` of the texts, is one row of packed numbers.  A bucket's words are decided together; of held-out texts,
+    which only look up what training has, a row at a time is held.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((classes, g))
+    shared = placed.sparkSession.sparkContext.broadcast((classes, g))
     k = classes.number
     often = int((classes.head.counts >= LEAST).sum())
     width = 2 * k
+    own = len(classes.head.words) // parts + 1  # at most so many places of the head are in a bucket
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, _ = shared.value
-        index = classes.head.index()
+        names = ["bucket", "kind", "words", "lens", "ids", "numbers", "sizes", "slots"]
         codes: list[np.ndarray] = []
-        size = 0
+        held_back: list[list[np.ndarray]] = []
+        size = weight = 0
+
+        def rows(group: np.ndarray, lens: np.ndarray, raw: np.ndarray, ids: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> pa.RecordBatch:
+            """Rows sorted by ``group``, bucket and kind."""
+            edges = _changes(group)
+            first = group[edges[:-1]]
+            at, inside = _edges(sizes), _edges(lens)
+            packed = [_packed(raw, inside[edges] if len(lens) else np.zeros(len(edges))), _packed(lens, edges if len(lens) else np.zeros(len(edges)))]
+            packed += [_packed(ids, edges), _packed(numbers, edges if len(numbers) else np.zeros(len(edges))), _packed(sizes, edges), _packed(slots, at[edges])]
+            return pa.RecordBatch.from_arrays([pa.array(first // 3), pa.array((first % 3).astype(np.int32)), *packed], names)
 
         def head_rows() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            place = code // width
-            edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])).astype(np.int32)
-            m = len(edge) - 1
-            slots, times = (pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (code % width, n))
-            return pa.RecordBatch.from_arrays([pa.array(place[edge[:-1]]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), slots, times], names)
-
-        names = ["place", "token", "held", "key", "slots", "n"]
-        for batch in slices(batches):
-            tokens, held, keys, slots, sizes = [], [], [], [], []
-            for text, key, out in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, at, of = classes.places(text, index)
-                seq = classes.sequence(of)
-                if not out:
-                    known = np.flatnonzero((at >= OWN_ITEMS) & (at < often))
-                    codes += [at[known] * width + seq[known + 2], at[known] * width + k + seq[known]]
-                    size += 2 * len(known)
-                beyond = np.flatnonzero(at < 0)
-                seen: dict[bytes, list[int]] = {}
-                if out:
-                    seen = dict.fromkeys([words[i] for i in beyond.tolist()], [])
-                else:
-                    for i, x, y in zip(beyond.tolist(), seq[beyond + 2].tolist(), (seq[beyond] + k).tolist()):
-                        mine = seen.get(words[i])
-                        if mine is None:
-                            seen[words[i]] = [x, y]
-                        else:
-                            mine += (x, y)
-                tokens += seen
-                held += [out] * len(seen)
-                keys += [key] * len(seen)
-                for mine in seen.values():
-                    slots += mine
-                sizes += map(len, seen.values())
-            if tokens:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
-                listed = pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32()))
-                places = np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - places), pa.array(tokens, pa.binary()), pa.array(held, pa.bool_()), pa.array(keys, pa.int64()), listed, pa.nulls(len(tokens), pa.list_(pa.int32()))], names)
+            code = np.sort(np.concatenate(codes))
+            word = code // width
+            edges = _changes(word)
+            word = word[edges[:-1]]
+            none = np.empty(0, np.int32)
+            return rows(word // own * 3, none, none, word % own * parts + word // own, none, np.diff(edges).astype(np.int32), (code % width).astype(np.uint16))
+
+        def tail_rows() -> pa.RecordBatch:
+            group, lens, raw, ids, numbers, sizes, slots = (np.concatenate(x) for x in zip(*held_back))
+            order = np.argsort(group, kind="stable")
+            raw = raw[_ranges(_edges(lens)[order], lens[order])]
+            slots = slots[_ranges(_edges(sizes)[order], sizes[order])]
+            return rows(group[order], lens[order], raw, ids[order], numbers[order], sizes[order], slots)
+
+        for batch in slices(batches, 2048):
+            ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            words = Placed.of(batch.column(2), batch.column(5))
+            raw, lens = _flat(batch.column(3), "u1")[0], _flat(batch.column(4), "<i4")[0]
+            of = words.values(classes.of_head, classes.of_ending[words.ends - OWN_ITEMS])
+            before, after, _ = _neighbours(of, words.edges, k - 1)
+            known = np.flatnonzero((words.at >= OWN_ITEMS) & (words.at < often) & ~held[words.text])
+            place = words.at[known].astype(np.int64)
+            place = (place % parts * own + place // parts) * width
+            codes += [place + after[known], place + k + before[known]]
+            size += 2 * len(known)
+            if len(lens):
+                learnt = ~held[words.text[words.beyond]]
+                at, row = words.beyond[learnt], words.row[learnt]
+                row = np.concatenate([row, row])
+                slots = np.concatenate([after[at], before[at] + k])[np.argsort(row, kind="stable")].astype(np.uint16)
+                new = np.diff(words.new)
+                bucket = np.fromiter(map(zlib.crc32, _tokens(lens, raw).to_pylist()), np.int64, len(lens)) % parts
+                numbers = (np.arange(len(lens)) - np.repeat(words.new[:-1], new)).astype(np.int32)
+                held_back.append([bucket * 3 + 1 + np.repeat(held, new), lens, raw, np.repeat(ids, new), numbers, np.bincount(row, minlength=len(lens)).astype(np.int32), slots])
+                weight += 16 * len(lens) + 2 * len(slots) + len(raw)
             if size > 8_000_000:
                 yield head_rows()
                 codes, size = [], 0
+            if weight > 32_000_000:
+                yield tail_rows()
+                held_back, weight = [], 0
         if size:
             yield head_rows()
+        if held_back:
+            yield tail_rows()
 
-    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by place and token, training before held out.  Of a word only its training rows are ever held back."""
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket and kind."""
         classes, g = shared.value
         best, kinds = likeliest(g), np.zeros(k, np.int64)
-        back: list[pa.RecordBatch] = []  # the last word's rows, if there may be more that count
-        done: tuple[int, bytes | None, int, int] | None = None  # a word that is decided and may have more held-out rows
-
-        def rows(batch: pa.RecordBatch, n: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
-            some = pa.array(n > 0)
-            return pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), pa.array(n), pa.array(of.astype(np.int32))], ["key", "token", "n", "class"]).filter(some)
-
-        def decided(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            """All rows of whole words: head words first or last, as places sort."""
-            nonlocal done
-            first, stop = _word_runs(batch)
-            place = batch.column(0).to_numpy()[first]
-            lists = batch.column(4)
-            off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            times, counted = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
-            is_head = place >= 0
-            n = np.where(is_head, LEAST, (off[stop] - off[first]) // 2).astype(np.int64)
-            of = np.full(len(first), -1, np.int64)
+        names = ["part", "ids", "numbers", "found", "n", "class"]
+        ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            ids, numbers, found = (np.concatenate(x) for x in zip(*ready))
+            order = np.argsort(ids % parts, kind="stable")
+            ids, numbers, found = ids[order], numbers[order], found[order]
+            edges = _changes(ids % parts)
+            m = len(edges) - 1
+            return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]] % parts), _packed(ids, edges), _packed(numbers, edges), _packed(found, edges), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+
+        def likely(word: np.ndarray, sizes: np.ndarray, slots: np.ndarray, m: int, some: np.ndarray) -> np.ndarray:
+            """The best classes of ``some`` of ``m`` words, from rows of words and their classes beside them."""
+            rank = np.full(m, -1, np.int64)
+            rank[some] = np.arange(len(some))
+            word = rank[np.repeat(word, sizes)]
+            slots = slots[word >= 0]
+            word = word[word >= 0]
+            order = np.argsort(word, kind="stable")
+            word, slots = word[order], slots[order]
+            out = np.empty(len(some), np.int64)
+            for at in range(0, len(some), 4096):
+                n = min(4096, len(some) - at)
+                a, b = np.searchsorted(word, [at, at + n])
+                out[at : at + n] = best(np.bincount((word[a:b] - at) * width + slots[a:b], minlength=n * width).reshape(n, width).astype(np.float64))
+            return out
+
+        def column(pieces: list[pa.RecordBatch], i: int, kind: str) -> np.ndarray:
+            return np.concatenate([_flat(x.column(i), kind)[0] for x in pieces])
+
+        def heads(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            place, word = np.unique(column(pieces, 4, "<i8"), return_inverse=True)
+            of = likely(word, column(pieces, 6, "<i4"), column(pieces, 7, "<u2"), len(place), np.arange(len(place)))
+            all_of = np.array([0, len(place)])
+            return pa.RecordBatch.from_arrays([pa.array([-1]), _packed(place, all_of), pa.nulls(1, pa.binary()), _packed(of, all_of), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names)
+
+        def learnt(pieces: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+            """Training's words of a bucket with what is found of them."""
+            listed = _tokens(column(pieces, 3, "<i4"), column(pieces, 2, "u1")).dictionary_encode()
+            word, m = listed.indices.to_numpy(), len(listed.dictionary)
+            sizes = column(pieces, 6, "<i4")
+            n = np.bincount(word, sizes, m).astype(np.int64) // 2
+            of = np.full(m, -1, np.int64)
             big = np.flatnonzero(n >= LEAST)
-            for at in range(0, len(big), 4096):
-                part = big[at : at + 4096]
-                counts = np.zeros((len(part), width))
-                for q, r in enumerate(part.tolist()):
-                    a, b = first[r], stop[r]
-                    weight = counted[times[a] : times[b]] if is_head[r] else None
-                    counts[q] = np.bincount(values[off[a] : off[b]], weight, width)
-                of[part] = best(counts)
-            heads = np.flatnonzero(is_head)
-            if len(heads):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.binary()), pa.array(-1 - place[heads]), pa.array(of[heads].astype(np.int32))], ["key", "token", "n", "class"])
-            tails = np.flatnonzero(~is_head & (n > 0))
-            words = batch.column(1).take(pa.array(first[tails])).to_pylist()
-            own = np.where(of[tails] >= 0, of[tails], classes.of_ending[[_ending(w) - OWN_ITEMS for w in words]] if words else of[tails])
-            np.add.at(kinds, own, 1)
-            done = (int(place[-1]), batch.column(1)[batch.num_rows - 1].as_py(), int(n[-1]), int(of[-1]))
-            run = np.repeat(np.arange(len(first)), stop - first)
-            keep = ~is_head[run]
-            if keep.any():
-                yield rows(batch.filter(pa.array(keep)), n[run][keep], of[run][keep])
+            of[big] = likely(word, sizes, column(pieces, 7, "<u2"), m, big)
+            endings = np.fromiter(map(_ending, listed.dictionary.to_pylist()), np.int64, m) - OWN_ITEMS
+            np.add.at(kinds, np.where(of >= 0, of, classes.of_ending[endings]), 1)
+            found = n << 16 | of + 1
+            ready.append((column(pieces, 4, "<i8"), column(pieces, 5, "<i4"), found[word]))
+            return listed.dictionary, found
+
+        bucket, last, pieces = -1, -1, []
+        words: pa.Array | None = None
+        found = np.empty(0, np.int64)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """What is done when all rows of a kind in a bucket are there."""
+            nonlocal words, found, size
+            if pieces and last == 0:
+                yield heads(pieces)
+            elif pieces:
+                words, found = learnt(pieces)
+                size += len(ready[-1][0])
 
         for batch in batches:
-            if done is not None and batch.num_rows and done[1] is not None and batch.column(0)[0].as_py() == done[0] and batch.column(1)[0].as_py() == done[1]:
-                size = int(_word_runs(batch)[1][0])
-                yield rows(batch.slice(0, size), np.full(size, done[2]), np.full(size, done[3]))
-                batch = batch.slice(size)
-            if not batch.num_rows:
-                continue
-            if back:
-                batch = pa.Table.from_batches([*back, batch]).combine_chunks().to_batches()[0]
-                back = []
-            cut = batch.num_rows
-            if not batch.column(2)[cut - 1].as_py():  # the last word may have more rows that count
-                cut = int(_word_runs(batch)[0][-1])
-                back = [batch.slice(cut)]
-            if cut:
-                yield from decided(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks().to_batches()[0])
-        if back:
-            yield from decided(pa.Table.from_batches(back).combine_chunks().to_batches()[0])
+            place, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = _changes(place * 3 + kind)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (place[a], kind[a]) != (bucket, last):
+                    yield from ended()
+                    pieces = []
+                    if place[a] != bucket:
+                        words = None
+                    bucket, last = int(place[a]), int(kind[a])
+                if last < 2:
+                    pieces.append(batch.slice(a, b - a))
+                    continue
+                for i in range(a, b) if words is not None else ():  # what training doesn't have is left out
+                    piece = [batch.slice(i, 1)]
+                    at = pc.index_in(_tokens(column(piece, 3, "<i4"), column(piece, 2, "u1")), value_set=words)
+                    some = at.is_valid().to_numpy(zero_copy_only=False)
+                    ready.append((column(piece, 4, "<i8")[some], column(piece, 5, "<i4")[some], found[at.drop_null().to_numpy()]))
+                    size += len(ready[-1][0])
+                if size > 1_000_000:
+                    yield flushed()
+                    ready, size = [], 0
+        yield from ended()
+        if size:
+            yield flushed()
         some = np.flatnonzero(kinds)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(kinds[some]), pa.array(some.astype(np.int32))], ["key", "token", "n", "class"])
+        none = [pa.nulls(len(some), pa.binary())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), -2)), *none, pa.array(kinds[some]), pa.array(some.astype(np.int32))], names)
 
-    text = text_or_empty()
-    source = documents.select(text.alias("text"), F.xxhash64(text).alias("key"), held_out.alias("held"))
-    parts = source.mapInArrow(contexts, _CONTEXTS)
-    return parts.repartition("place").sortWithinPartitions("place", "token", "held").mapInArrow(assigned, "key long, token binary, n long, class int")
+    words = placed.select("_id", "_held", "at", "words", "lens", "ends").mapInArrow(contexts, _CONTEXTS)
+    return words.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(decided, _FOUND)
 
 
 @dataclass
 class BrownModel:
-    """A fitted model; the words beyond the head are rows of ``tail``."""
+    """A fitted model; ``tail`` has the words beyond the head.
+
+    Its rows (key, token, n, class): for every text, known by ``key``, its distinct words beyond the head that training
+    has, with their counts and classes there (class -1 is the ending's).
+    """
 
     classes: Classes
     tail: DataFrame
@@ -435,22 +559,6 @@ class BrownModel:
     delta: float
 
 
-def classes_of(raw: bytes, number: int) -> np.ndarray:
-    """A text's classes with the end before its first and after its last."""
-    return np.concatenate([[number - 1], np.frombuffer(raw, "<i4"), [number - 1]]).astype(np.int64)
-
-
-def _word_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """First rows and ends of runs of equal place and token; there is one at least."""
-    n = batch.num_rows
-    place, token = batch.column(0).to_numpy(), batch.column(1)
-    new = np.ones(n, bool)
-    other = pc.not_equal(token.slice(1), token.slice(0, n - 1)).fill_null(False).to_numpy(zero_copy_only=False)
-    new[1:] = (place[1:] != place[:-1]) | other
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], n)
-
-
 def _total(table: DataFrame, column: str, size: int) -> np.ndarray:
     """Column ``n`` summed by a small whole-number column."""
     out = np.zeros(size, np.int64)
@@ -459,6 +567,41 @@ def _total(table: DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Placed, np.ndarray]]:
+    """Some texts at a time with their words, and what is found of their new words (0: nothing).
+
+    Rows come sorted by part and kind, what is found (kind 0) before the texts.  Columns: part, kind, ids, numbers,
+    found; the text's id, places and endings.
+    """
+    part, held = -1, []
+    known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    none = np.empty(0, np.int64)
+    for batch in batches:
+        place, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = _changes(place * 2 + kind)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if place[a] != part:
+                part, held, known = int(place[a]), [], None
+            run = batch.slice(a, b - a)
+            if kind[a] == 0:
+                held.append([_flat(run.column(2 + i), x)[0] for i, x in enumerate(("<i8", "<i4", "<i8"))])
+                continue
+            if known is None:
+                ids, numbers, found = (np.concatenate(x) for x in zip(*held)) if held else (none, none, none)
+                order = np.argsort(ids, kind="stable")
+                known, held = (ids[order], numbers[order], found[order]), []
+            ids, numbers, found = known
+            for texts in slices(iter([run]), 2048):
+                words = Placed.of(texts.column(6), texts.column(7))
+                mine = texts.column(5).to_numpy()
+                first = np.searchsorted(ids, mine)
+                sizes = np.searchsorted(ids, mine, "right") - first
+                at = _ranges(first, sizes)
+                of_new = np.zeros(len(words.ends), np.int64)
+                of_new[np.repeat(words.new[:-1], sizes) + numbers[at]] = found[at]
+                yield texts, words, of_new
+
+
 def fit_and_score(
     documents: DataFrame, held_out: Column, keep: list[Column], *, most_head: int = HEAD, sweeps: int = 8, alpha: float = 5.0, delta: float = 0.5
 ) -> tuple[DataFrame, BrownModel]:
@@ -467,10 +610,14 @@ def fit_and_score(
     The model learns from the rows where ``held_out`` is false.
     """
     spark = documents.sparkSession
-    training = documents.where(~held_out)
-    counts = settle(word_counts(training), "word-counts")
+    counts = settle(word_counts(documents.where(~held_out)), "word-counts")
     head, _ = head_of(counts, most_head)
-    bigrams = item_bigrams(training, head)
+    names = [f"_k{i}" for i in range(len(keep))]
+    held = F.coalesce(held_out, F.lit(True))
+    source = documents.select(text_or_empty().alias("_text"), F.monotonically_increasing_id().alias("_id"), held.alias("_held"), *[c.alias(n) for c, n in zip(keep, names)])
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    placed = settle(place_words(source, head), "lm-places")  # from here on a row has one id, whoever reads it
+    bigrams = item_bigrams(placed.where("NOT _held"), head)
     texts, tokens = int(bigrams[:, END_ITEM].sum()), int(bigrams.sum())
     words = counts.count() + (texts > 0)
     k = classes_for(tokens)
@@ -479,64 +626,68 @@ def fit_and_score(
     member[np.arange(ITEMS), of] = 1
     g = member.T @ bigrams @ member
     first = Classes(head, of[head.items()].astype(np.int64), of[OWN_ITEMS:END_ITEM], k)
-    tail = settle(word_classes(documents, held_out, first, g), "lm-words")
-    moved = tail.where("key IS NULL AND n < 0").select((-1 - F.col("n")).alias("place"), "class").toArrow()  # at most the head
+    parts = tokens // PART + 1
+    found = settle(word_classes(placed, first, g, parts), "lm-words")
+    moved = found.where("part = -1").select("ids", "found").toArrow().combine_chunks()  # at most the head
     of_head = first.of_head.copy()
-    of_head[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
+    for batch in moved.to_batches():
+        of_head[_flat(batch.column(0), "<i8")[0]] = _flat(batch.column(1), "<i8")[0]
     classes = Classes(head, of_head, first.of_ending, k)
 
     # Every text's classes, and what of its score doesn't depend on transitions.
     shared = spark.sparkContext.broadcast(classes)
     base_below = math.log10(tokens + words + 1)
-    names = [f"_k{i}" for i in range(len(keep))]
-    text = text_or_empty()
-    source = documents.select(F.xxhash64(text).alias("_key"), text.alias("_text"), held_out.alias("_held"), *[c.alias(n) for c, n in zip(keep, names)])
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+
+    def met(columns: list[str]) -> DataFrame:
+        """Each part's rows of what is found, then its texts, as ``_met`` reads them; more columns of texts follow."""
+        nothing = [F.lit(None).cast("binary").alias(x) for x in ("ids", "numbers", "found")]
+        of_texts = ["_id", "at", "ends", *columns]
+        left = found.where("part >= 0").select("part", F.lit(0).alias("kind"), "ids", "numbers", "found", *[F.lit(None).cast(placed.schema[x].dataType).alias(x) for x in of_texts])
+        right = placed.select((F.col("_id") % parts).alias("part"), F.lit(1).alias("kind"), *nothing, *of_texts)
+        return left.union(right).repartition("part").sortWithinPartitions("part", "kind")
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
-        index, counts = classes.head.index(), classes.head.counts
-        for batch in slices(batches):
-            n_tokens, n_known, base, own, rows = [], [], [], [], []
-            tails = batch.column(1)
-            edges = (tails.offsets.to_numpy() - tails.offsets[0].as_py()).tolist()
-            flat = tails.flatten()  # of this slice alone
-            tokens_of, values_of = flat.field(0).to_pylist(), flat.field(1).to_pylist()
-            for i, text in enumerate(utf8(batch.column(0))):
-                words, at, of = classes.places(text, index)
-                n = counts[at] if len(counts) else np.zeros(len(at), np.int64)
-                beyond = np.flatnonzero(at < 0)
-                if len(beyond):
-                    a, b = edges[i], edges[i + 1]
-                    known = dict(zip(tokens_of[a:b], values_of[a:b])).get
-                    packed = np.array([known(words[j], 0) for j in beyond.tolist()], np.int64)
-                    n[beyond], c = packed >> 16, (packed & 0xFFFF) - 1
-                    of[beyond[c >= 0]] = c[c >= 0]
-                n_tokens.append(len(words) + 1)
-                n_known.append(int((n > 0).sum()) + (texts > 0) if tokens else 0)
-                base.append(float(np.log10(n + 1.0).sum()) + math.log10(texts + 1) - n_tokens[-1] * base_below if tokens else 0.0)
-                own.append(float(np.log10(n + delta).sum()) if tokens else 0.0)
-                rows.append(of.astype("<i4").tobytes())
-            columns = [*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(rows, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)]
+        counts = classes.head.counts
+        logs = [np.log10(counts + x) for x in (1.0, delta)]
+        for batch, words, value in _met(batches):
+            n, c = value >> 16, (value & 0xFFFF) - 1
+            of = words.values(classes.of_head, np.where(c >= 0, c, classes.of_ending[words.ends - OWN_ITEMS]))
+            m = batch.num_rows
+            n_tokens = np.diff(words.edges) + 1
+            total = lambda head, new: np.bincount(words.text, words.values(head, new), m)  # noqa: B023, E731
+            if tokens:
+                n_known = total((counts > 0).astype(np.float64), n > 0).astype(np.int64) + (texts > 0)
+                base = total(logs[0], np.log10(n + 1.0)) + math.log10(texts + 1) - n_tokens * base_below
+                own = total(logs[1], np.log10(n + delta))
+            else:
+                n_known, base, own = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+            columns = [*(batch.column(i) for i in range(8, batch.num_columns)), _packed(of.astype("<u2"), words.edges), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays(columns, ["_held", *names, "_of", "n_tokens", "n_known", "base_score", "_own"])
 
-    info = tail.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("token", F.expr("n * 65536 + class + 1").alias("v"))).alias("_tail"))
-    joined = source.join(info, F.col("_key") == F.col("key"), "left").select("_text", "_tail", "_held", *names)
+    def words_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words, value in _met(batches):
+            all_words = _tokens(_flat(batch.column(9), "<i4")[0], _flat(batch.column(8), "u1")[0]).cast(pa.binary())
+            some = np.flatnonzero(value)
+            keys = np.repeat(batch.column(5).to_numpy(), np.diff(words.new))[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), all_words.take(pa.array(some)), pa.array(value[some] >> 16), pa.array(((value[some] & 0xFFFF) - 1).astype(np.int32))], ["key", "token", "n", "class"])
+
+    tail = met(["words", "lens"]).mapInArrow(words_found, "key long, token binary, n long, class int")
     schema = "_held boolean, " + "".join(f"{n} {kinds[n]}, " for n in names) + "_of binary, n_tokens long, n_known long, base_score double, _own double"
-    parts = settle(joined.mapInArrow(resolved, schema), "lm-classes")
+    scored_parts = settle(met(["_held", *names]).mapInArrow(resolved, schema), "lm-classes")
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(k * k, np.int64)
-        for batch in slices(batches):
-            for raw in batch.column(0).to_pylist():
-                seq = classes_of(raw, k)
-                seen += np.bincount(seq[:-1] * k + seq[1:], minlength=k * k)
+        for batch in slices(batches, 4096):
+            of, edges = _flat(batch.column(0), "<u2")
+            _, after, first = _neighbours(of, edges, k - 1)
+            seen += np.bincount(np.concatenate([of * np.int64(k) + after, (k - 1) * k + first]), minlength=k * k)
         code = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(seen[code])], ["code", "n"])
 
-    t = _total(parts.where("NOT _held").select("_of").mapInArrow(transitions, "code long, n long"), "code", k * k).reshape(k, k)
+    t = _total(scored_parts.where("NOT _held").select("_of").mapInArrow(transitions, "code long, n long"), "code", k * k).reshape(k, k)
     distinct = np.bincount(classes.of_head, minlength=k)
-    distinct = distinct + _total(tail.where("key IS NULL AND n > 0"), "class", k)
+    distinct = distinct + _total(found.where("part = -2"), "class", k)
     size = t.sum(axis=0)
     share = (size + 1) / (size.sum() + k)
     transition = np.log10((t + alpha * share) / (t.sum(axis=1, keepdims=True) + alpha))
@@ -546,15 +697,15 @@ def fit_and_score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transition, below = shares.value
-        for batch in slices(batches):
-            out = []
-            for raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = classes_of(raw, k)
-                out.append(float(transition[seq[:-1], seq[1:]].sum() + own - below[seq[1:-1]].sum()) if tokens else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(out)], [*names, "n_tokens", "n_known", "base_score", "score"])
+        for batch in slices(batches, 4096):
+            of, edges = _flat(batch.column(0), "<u2")
+            _, after, first = _neighbours(of, edges, k - 1)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            out = transition[k - 1, first] + np.bincount(text, transition[of, after] - below[of], batch.num_rows) + batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(out if tokens else np.zeros(batch.num_rows))], [*names, "n_tokens", "n_known", "base_score", "score"])
 
     schema = "".join(f"{n} {kinds[n]}, " for n in names) + "n_tokens long, n_known long, base_score double, score double"
-    done = parts.select("_of", "_own", *names, "n_tokens", "n_known", "base_score").mapInArrow(scored, schema)
+    done = scored_parts.select("_of", "_own", *names, "n_tokens", "n_known", "base_score").mapInArrow(scored, schema)
     scores = done.select(*names, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     return scores, BrownModel(classes, tail, transition, below, tokens, words, texts, delta)
 

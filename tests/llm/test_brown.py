@@ -133,3 +133,16 @@ def test_head_words_that_are_no_items_find_their_classes(spark):
     for words in (moved, beyond):
         of_a, of_b = (Counter(of[w] for w in words if w[:1] == kind) for kind in (b"a", b"b"))
         assert sum(min(of_a[c], of_b[c]) for c in of_a) <= 0.1 * len(words)
+
+
+def test_words_beyond_the_head_travel_in_few_rows(spark, monkeypatch):
+    """No row for each text and word; copies of a text don't gather each other's words."""
+    settled = {}
+    plain = brown.settle
+    monkeypatch.setattr(brown, "settle", lambda df, tag: settled.setdefault(tag, plain(df, tag)))
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 30))) for i in range(120)] + [(i, "w1 w2 w3 rare w3") for i in range(121, 160)]
+    _, model, of = fitted(spark, texts, most_head=0)
+    assert b"rare" in of and len(of) > 300
+    assert settled["lm-words"].count() < 100
+    assert model.tail.where("key IS NOT NULL").groupBy("key", "token").count().where("count > 1").count() == 0
