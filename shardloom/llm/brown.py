@@ -49,7 +49,7 @@ OWN_ITEMS, ENDINGS = 1200, 300
 #: Words of fewer occurrences have the class of their ending.
 LEAST = 4
 #: Training tokens for a bucket of words, or for a part of the texts.
-PART = 1_000_000
+PART = 500_000
 _FLUSH = 250_000
 _STEPS = 64  # steps of the count scale a power of two, to find the head's smallest count
 
@@ -139,6 +139,22 @@ def _edges(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
+def _steps(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Each row's first number, then the differences, which pack well."""
+    out = np.diff(values, prepend=values[:1])
+    some = edges[:-1][np.diff(edges) > 0]
+    out[some] = values[some]
+    return out
+
+
+def _summed(steps: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """What ``_steps`` was given."""
+    total = np.cumsum(steps)
+    sizes = np.diff(edges)
+    some = edges[:-1][sizes > 0]
+    return total - np.repeat(total[some] - steps[some], sizes[sizes > 0])
+
+
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of the ranges that begin at ``first``."""
     return np.repeat(first - _edges(sizes)[:-1], sizes) + np.arange(int(sizes.sum()))
@@ -158,9 +174,9 @@ def _neighbours(of: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray
     return before, after, first
 
 
-#: A text's words as places in the head (int32; beyond it -1, -2, ... for its distinct words in their order), and of
-#: those words the bytes, their number (int32) and the endings' items (uint16).
-_PLACES = "at binary, words binary, lens binary, ends binary"
+#: A text's words as places in the head (int32; beyond it -1, -2, ... for its distinct words in their order), lower and
+#: upper halves apart as the upper are mostly 0; of those words the bytes, their lengths (int32) and the endings' items (uint16).
+_PLACES = "low binary, high binary, words binary, lens binary, ends binary"
 
 
 def place_words(documents: DataFrame, head: Head) -> DataFrame:
@@ -184,13 +200,15 @@ def place_words(documents: DataFrame, head: Head) -> DataFrame:
                 new += mine
                 sizes.append(len(mine))
             lens, edges = np.fromiter(map(len, new), np.int32, len(new)), _edges(np.array(sizes))
+            at, texts = np.concatenate(ats), _edges(np.array([len(x) for x in ats]))
             packed = [
-                _packed(np.concatenate(ats), _edges(np.array([len(x) for x in ats]))),
+                _packed((at & 0xFFFF).astype(np.uint16), texts),
+                _packed((at >> 16).astype(np.int16), texts),
                 _packed(np.frombuffer(b"".join(new), np.uint8), _edges(lens)[edges]),
                 _packed(lens, edges),
                 _packed(np.fromiter(map(_ending, new), np.uint16, len(new)), edges),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), *packed], [*kept, "at", "words", "lens", "ends"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), *packed], [*kept, "low", "high", "words", "lens", "ends"])
 
     return documents.mapInArrow(run, "".join(f"{n} {kinds[n]}, " for n in kept) + _PLACES)
 
@@ -208,8 +226,9 @@ class Placed:
     new: np.ndarray  # edges of the texts among the new words
 
     @classmethod
-    def of(cls, at: pa.Array, ends: pa.Array) -> Placed:
-        (at, edges), (ends, new) = _flat(at, "<i4"), _flat(ends, "<u2")
+    def of(cls, low: pa.Array, high: pa.Array, ends: pa.Array) -> Placed:
+        (at, edges), (ends, new) = _flat(low, "<u2"), _flat(ends, "<u2")
+        at = _flat(high, "<i2")[0].astype(np.int32) << 16 | at
         text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
         beyond = np.flatnonzero(at < 0)
         return cls(at, edges, text, beyond, new[text[beyond]] - 1 - at[beyond], ends, new)
@@ -229,14 +248,14 @@ def item_bigrams(placed: DataFrame, head: Head) -> np.ndarray:
         item = shared.value
         seen = np.zeros(ITEMS * ITEMS, np.int64)
         for batch in slices(batches, 4096):
-            words = Placed.of(batch.column(0), batch.column(1))
+            words = Placed.of(*batch.columns)
             items = words.values(item, words.ends)
             _, after, first = _neighbours(items, words.edges, END_ITEM)
             seen += np.bincount(np.concatenate([items * ITEMS + after, END_ITEM * ITEMS + first]), minlength=ITEMS * ITEMS)
         codes = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(seen[codes])], ["code", "n"])
 
-    rows = placed.select("at", "ends").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = placed.select("low", "high", "ends").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ITEMS * ITEMS, np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out.reshape(ITEMS, ITEMS)
@@ -355,10 +374,10 @@ def likeliest(g: np.ndarray):  # noqa: ANN201
 
 
 #: Words by buckets, a row for each bucket and kind that some texts have: 0 words of the head (their places in ``ids``),
-#: 1 words beyond it of training texts, 2 of held-out ones (with the texts' ids and the words' numbers there).  Bytes and
+#: 1 words beyond it of training texts, 2 of held-out ones (with the texts' ids and the words' numbers there; ids as steps).  Bytes and
 #: lengths of the words, how many classes each has beside it, and these classes (after a word, then before it).
 _CONTEXTS = "bucket long, kind int, words binary, lens binary, ids binary, numbers binary, sizes binary, slots binary"
-#: By parts of the texts: texts' ids, words' numbers there, count << 16 | class + 1 (0: the ending's).  Part -1: places
+#: By parts of the texts: texts' ids as steps, words' numbers there, count << 16 | class + 1 (0: the ending's).  Part -1: places
 #: in the head and their new classes; part -2: a number of distinct words beyond the head, by class.
 _FOUND = "part long, ids binary, numbers binary, found binary, n long, class int"
 
@@ -368,7 +387,7 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
 
     Both ways words travel in few rows: what a task has for one bucket of words (by their hash), or for one of the
     ``parts`` of the texts, is one row of packed numbers.  A bucket's words are decided together; of held-out texts,
-    which only look up what training has, a row at a time is held.
+    which only look up what training has, 16 MB at a time are held.
     """
     shared = placed.sparkSession.sparkContext.broadcast((classes, g))
     k = classes.number
@@ -389,7 +408,7 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
             first = group[edges[:-1]]
             at, inside = _edges(sizes), _edges(lens)
             packed = [_packed(raw, inside[edges] if len(lens) else np.zeros(len(edges))), _packed(lens, edges if len(lens) else np.zeros(len(edges)))]
-            packed += [_packed(ids, edges), _packed(numbers, edges if len(numbers) else np.zeros(len(edges))), _packed(sizes, edges), _packed(slots, at[edges])]
+            packed += [_packed(_steps(ids, edges), edges), _packed(numbers, edges if len(numbers) else np.zeros(len(edges))), _packed(sizes, edges), _packed(slots, at[edges])]
             return pa.RecordBatch.from_arrays([pa.array(first // 3), pa.array((first % 3).astype(np.int32)), *packed], names)
 
         def head_rows() -> pa.RecordBatch:
@@ -409,8 +428,8 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
 
         for batch in slices(batches, 2048):
             ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            words = Placed.of(batch.column(2), batch.column(5))
-            raw, lens = _flat(batch.column(3), "u1")[0], _flat(batch.column(4), "<i4")[0]
+            words = Placed.of(batch.column(2), batch.column(3), batch.column(6))
+            raw, lens = _flat(batch.column(4), "u1")[0], _flat(batch.column(5), "<i4")[0]
             of = words.values(classes.of_head, classes.of_ending[words.ends - OWN_ITEMS])
             before, after, _ = _neighbours(of, words.edges, k - 1)
             known = np.flatnonzero((words.at >= OWN_ITEMS) & (words.at < often) & ~held[words.text])
@@ -449,11 +468,11 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
 
         def flushed() -> pa.RecordBatch:
             ids, numbers, found = (np.concatenate(x) for x in zip(*ready))
-            order = np.argsort(ids % parts, kind="stable")
+            order = np.lexsort((ids, ids % parts))
             ids, numbers, found = ids[order], numbers[order], found[order]
             edges = _changes(ids % parts)
             m = len(edges) - 1
-            return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]] % parts), _packed(ids, edges), _packed(numbers, edges), _packed(found, edges), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]] % parts), _packed(_steps(ids, edges), edges), _packed(numbers, edges), _packed(found, edges), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
 
         def likely(word: np.ndarray, sizes: np.ndarray, slots: np.ndarray, m: int, some: np.ndarray) -> np.ndarray:
             """The best classes of ``some`` of ``m`` words, from rows of words and their classes beside them."""
@@ -474,8 +493,11 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
         def column(pieces: list[pa.RecordBatch], i: int, kind: str) -> np.ndarray:
             return np.concatenate([_flat(x.column(i), kind)[0] for x in pieces])
 
+        def ids_of(pieces: list[pa.RecordBatch]) -> np.ndarray:
+            return np.concatenate([_summed(*_flat(x.column(4), "<i8")) for x in pieces])
+
         def heads(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-            place, word = np.unique(column(pieces, 4, "<i8"), return_inverse=True)
+            place, word = np.unique(ids_of(pieces), return_inverse=True)
             of = likely(word, column(pieces, 6, "<i4"), column(pieces, 7, "<u2"), len(place), np.arange(len(place)))
             all_of = np.array([0, len(place)])
             return pa.RecordBatch.from_arrays([pa.array([-1]), _packed(place, all_of), pa.nulls(1, pa.binary()), _packed(of, all_of), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names)
@@ -492,7 +514,7 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
             endings = np.fromiter(map(_ending, listed.dictionary.to_pylist()), np.int64, m) - OWN_ITEMS
             np.add.at(kinds, np.where(of >= 0, of, classes.of_ending[endings]), 1)
             found = n << 16 | of + 1
-            ready.append((column(pieces, 4, "<i8"), column(pieces, 5, "<i4"), found[word]))
+            ready.append((ids_of(pieces), column(pieces, 5, "<i4"), found[word]))
             return listed.dictionary, found
 
         bucket, last, pieces = -1, -1, []
@@ -521,11 +543,12 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
                 if last < 2:
                     pieces.append(batch.slice(a, b - a))
                     continue
-                for i in range(a, b) if words is not None else ():  # what training doesn't have is left out
-                    piece = [batch.slice(i, 1)]
+                # What training doesn't have is left out; the words' index is made once for rows of 16 MB.
+                for rows in slices(iter([batch.slice(a, b - a)]), 1 << 20) if words is not None else ():
+                    piece = [rows]
                     at = pc.index_in(_tokens(column(piece, 3, "<i4"), column(piece, 2, "u1")), value_set=words)
                     some = at.is_valid().to_numpy(zero_copy_only=False)
-                    ready.append((column(piece, 4, "<i8")[some], column(piece, 5, "<i4")[some], found[at.drop_null().to_numpy()]))
+                    ready.append((ids_of(piece)[some], column(piece, 5, "<i4")[some], found[at.drop_null().to_numpy()]))
                     size += len(ready[-1][0])
                 if size > 1_000_000:
                     yield flushed()
@@ -537,7 +560,7 @@ def word_classes(placed: DataFrame, classes: Classes, g: np.ndarray, parts: int)
         none = [pa.nulls(len(some), pa.binary())] * 3
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), -2)), *none, pa.array(kinds[some]), pa.array(some.astype(np.int32))], names)
 
-    words = placed.select("_id", "_held", "at", "words", "lens", "ends").mapInArrow(contexts, _CONTEXTS)
+    words = placed.select("_id", "_held", "low", "high", "words", "lens", "ends").mapInArrow(contexts, _CONTEXTS)
     return words.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(decided, _FOUND)
 
 
@@ -571,7 +594,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Pl
     """Some texts at a time with their words, and what is found of their new words (0: nothing).
 
     Rows come sorted by part and kind, what is found (kind 0) before the texts.  Columns: part, kind, ids, numbers,
-    found; the text's id, places and endings.
+    found; the text's id, places (two halves) and endings.
     """
     part, held = -1, []
     known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -584,7 +607,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Pl
                 part, held, known = int(place[a]), [], None
             run = batch.slice(a, b - a)
             if kind[a] == 0:
-                held.append([_flat(run.column(2 + i), x)[0] for i, x in enumerate(("<i8", "<i4", "<i8"))])
+                held.append((_summed(*_flat(run.column(2), "<i8")), _flat(run.column(3), "<i4")[0], _flat(run.column(4), "<i8")[0]))
                 continue
             if known is None:
                 ids, numbers, found = (np.concatenate(x) for x in zip(*held)) if held else (none, none, none)
@@ -592,7 +615,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Pl
                 known, held = (ids[order], numbers[order], found[order]), []
             ids, numbers, found = known
             for texts in slices(iter([run]), 2048):
-                words = Placed.of(texts.column(6), texts.column(7))
+                words = Placed.of(texts.column(6), texts.column(7), texts.column(8))
                 mine = texts.column(5).to_numpy()
                 first = np.searchsorted(ids, mine)
                 sizes = np.searchsorted(ids, mine, "right") - first
@@ -641,7 +664,7 @@ def fit_and_score(
     def met(columns: list[str]) -> DataFrame:
         """Each part's rows of what is found, then its texts, as ``_met`` reads them; more columns of texts follow."""
         nothing = [F.lit(None).cast("binary").alias(x) for x in ("ids", "numbers", "found")]
-        of_texts = ["_id", "at", "ends", *columns]
+        of_texts = ["_id", "low", "high", "ends", *columns]
         left = found.where("part >= 0").select("part", F.lit(0).alias("kind"), "ids", "numbers", "found", *[F.lit(None).cast(placed.schema[x].dataType).alias(x) for x in of_texts])
         right = placed.select((F.col("_id") % parts).alias("part"), F.lit(1).alias("kind"), *nothing, *of_texts)
         return left.union(right).repartition("part").sortWithinPartitions("part", "kind")
@@ -662,12 +685,12 @@ def fit_and_score(
                 own = total(logs[1], np.log10(n + delta))
             else:
                 n_known, base, own = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
-            columns = [*(batch.column(i) for i in range(8, batch.num_columns)), _packed(of.astype("<u2"), words.edges), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(own)]
+            columns = [*(batch.column(i) for i in range(9, batch.num_columns)), _packed(of.astype("<u2"), words.edges), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays(columns, ["_held", *names, "_of", "n_tokens", "n_known", "base_score", "_own"])
 
     def words_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words, value in _met(batches):
-            all_words = _tokens(_flat(batch.column(9), "<i4")[0], _flat(batch.column(8), "u1")[0]).cast(pa.binary())
+            all_words = _tokens(_flat(batch.column(10), "<i4")[0], _flat(batch.column(9), "u1")[0]).cast(pa.binary())
             some = np.flatnonzero(value)
             keys = np.repeat(batch.column(5).to_numpy(), np.diff(words.new))[some]
             yield pa.RecordBatch.from_arrays([pa.array(keys), all_words.take(pa.array(some)), pa.array(value[some] >> 16), pa.array(((value[some] & 0xFFFF) - 1).astype(np.int32))], ["key", "token", "n", "class"])
